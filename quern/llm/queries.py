@@ -5,18 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.quality import fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents")
+    voters = fit(docs, table(spark, sf_dir, "labels"), learn=~held_out())
+    return score(docs, voters).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.substring_dedup import without_repeats
+
+    found = without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.ngram_join import similar_documents
 
     return similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.packing import n_words, packed
+
+    docs = table(spark, sf_dir, "documents")
+    found = packed(docs, n_words(F.col("text")), F.col("source"), F.xxhash64("text").cast("string"))
+    return found.drop("row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op3_substring_dedup": op3_substring_dedup,
     "op8_ngram_join": op8_ngram_join,
+    "op9_packing": op9_packing,
 }
 
 ORACLE: dict[str, str] = {}
