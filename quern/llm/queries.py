@@ -18,6 +18,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, voters).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.substring_dedup import without_repeats
 
@@ -25,6 +31,30 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.decontaminate import report
+
+    found = report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    start = F.transform("places", lambda p: p["start"].cast("long"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(start).alias("first_word"),
+        F.array_max(start).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.ngram_join import similar_documents
 
@@ -41,7 +71,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_url_filter": op2_url_filter,
     "op3_substring_dedup": op3_substring_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op7_licenses": op7_licenses,
     "op8_ngram_join": op8_ngram_join,
     "op9_packing": op9_packing,
 }
