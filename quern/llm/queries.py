@@ -69,6 +69,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("row")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.pii import KINDS, find
+
+    found = find(table(spark, sf_dir, "documents"))
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(of(k) for k in KINDS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_url_filter": op2_url_filter,
@@ -77,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_licenses": op7_licenses,
     "op8_ngram_join": op8_ngram_join,
     "op9_packing": op9_packing,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {}
