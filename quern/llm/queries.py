@@ -37,6 +37,17 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quern.llm.common import fresh_path
+    from quern.llm.tokens import read_tokens, write_tokens
+
+    path = fresh_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.decontaminate import report
 
@@ -89,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_nearest": op4_nearest,
+    "op5_tokens": op5_tokens,
     "op6_decontamination": op6_decontamination,
     "op7_licenses": op7_licenses,
     "op8_ngram_join": op8_ngram_join,
