@@ -34,22 +34,38 @@ from quern.llm.common import stored
 from quern.llm.packed import batches_of, buckets, dealt, doc_bucket, doc_bucket_np, join_arrays, split_arrays, texts
 from quern.llm.text import mixed, sliding_minimum, windows, word_hashes
 
-#: Words in a phrase; letters of the automaton are 16 bits of a word's hash (a false hit only adds a window to compare).
-PHRASE = 5
-#: Phrases in an automaton: about 150 MB when compiled.
-SHARD_PHRASES = 400_000
+#: Words in a phrase. The automaton reads two letters of six bits for each word, from its hash: few
+#: children a node. A false hit only adds windows to compare.
+PHRASE = 4
+#: Phrases in an automaton: 200 MB when compiled, at most.
+SHARD_PHRASES = 500_000
 ROW_PHRASES = 1 << 16
 CHUNK = 1_000_000
+_ALPHABET = np.arange(48, 112, dtype=np.uint8)
 
 
-def _letters(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(48)).astype(np.uint64)
+def _letters(hashes: np.ndarray) -> str:
+    """A document as the automaton reads it."""
+    out = np.empty((len(hashes), 2), np.uint8)
+    out[:, 0] = _ALPHABET[(hashes >> np.uint64(58)).astype(np.intp)]
+    out[:, 1] = _ALPHABET[((hashes >> np.uint64(52)) & np.uint64(63)).astype(np.intp)]
+    return out.tobytes().decode("ascii")
 
 
-def _codes(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(letters) - PHRASE + 1
-    a, b, c, d, e = (letters[i : i + n] for i in range(PHRASE))
-    return (a << np.uint64(48)) | (b << np.uint64(32)) | (c << np.uint64(16)) | d, e.astype(np.uint16)
+def _codes(hashes: np.ndarray) -> np.ndarray:
+    """Each phrase as one number: twelve bits for each of its words."""
+    twelve, n = hashes >> np.uint64(52), len(hashes) - PHRASE + 1
+    out = np.zeros(n, np.uint64)
+    for i in range(PHRASE):
+        out = (out << np.uint64(12)) | twelve[i : i + n]
+    return out
+
+
+def _spelt(codes: np.ndarray) -> list[str]:
+    """Codes as the automaton's keys."""
+    shifts = np.arange(12 * PHRASE - 6, -1, -6, dtype=np.uint64)
+    letters = _ALPHABET[((codes[:, None] >> shifts) & np.uint64(63)).astype(np.intp)]
+    return [x.decode("ascii") for x in np.ascontiguousarray(letters).view(f"S{2 * PHRASE}").ravel().tolist()]
 
 
 def _places(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,18 +78,16 @@ def _count(window: int, n_buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
     def flush(held) -> Iterator[tuple]:
-        high, low = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((low, high))
-        high, low = high[order], low[order]
-        at = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
-        often = (np.diff(np.append(at, len(high))) > 1).astype(np.uint8)
-        high, low = high[at], low[at]
-        bucket = (mixed(high ^ low) % np.uint64(n_buckets)).astype(np.int64)
+        code = np.sort(np.concatenate(held))
+        at = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        often = np.diff(np.append(at, len(code))) > 1
+        code = code[at]
+        bucket = (mixed(code) % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
+        value = ((code << np.uint64(1)) | often)[order]
         cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         for b in np.flatnonzero(np.diff(cut)):
-            rows = order[cut[b] : cut[b + 1]]
-            yield int(b), join_arrays(high[rows], low[rows], often[rows])
+            yield int(b), value[cut[b] : cut[b + 1]].tobytes()
 
     def rows(batches) -> Iterator[tuple]:
         held, n = [], 0
@@ -83,8 +97,7 @@ def _count(window: int, n_buckets: int):
                 continue
             _, place = _places(hashes, window)
             at = np.unique(place)
-            high, low = _codes(_letters(hashes))
-            held.append((high[at], low[at]))
+            held.append(_codes(hashes)[at])
             n += len(at)
             if n >= CHUNK:
                 yield from flush(held)
@@ -96,17 +109,15 @@ def _count(window: int, n_buckets: int):
 
 
 def _confirm(batches) -> Iterator[pa.RecordBatch]:
-    parts = [split_arrays(p, "<u8", "<u2", "u1") for batch in batches for p in batch.column(1).to_pylist()]
+    parts = [np.frombuffer(p, "<u8") for batch in batches for p in batch.column(1).to_pylist()]
     if not parts:
         return
-    high, low, often = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((low, high))
-    high, low, often = high[order], low[order], often[order]
-    at = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
-    keep = at[(np.diff(np.append(at, len(high))) > 1) | (np.maximum.reduceat(often, at) > 0)]
-    high, low = high[keep], low[keep]
-    rows = ((int(low[a]), int(high[a].view(np.int64)), len(high[a : a + ROW_PHRASES]), join_arrays(high[a : a + ROW_PHRASES], low[a : a + ROW_PHRASES])) for a in range(0, len(high), ROW_PHRASES))
-    yield from batches_of(rows, pa.schema([("low", pa.int32()), ("high", pa.int64()), ("n", pa.int32()), ("payload", pa.binary())]))
+    value = np.sort(np.concatenate(parts))
+    code = value >> np.uint64(1)
+    at = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    code = code[at[(np.diff(np.append(at, len(code))) > 1) | (np.bitwise_or.reduceat(value, at) & np.uint64(1) == 1)]]
+    rows = ((int(code[a]), len(code[a : a + ROW_PHRASES]), code[a : a + ROW_PHRASES].tobytes()) for a in range(0, len(code), ROW_PHRASES))
+    yield from batches_of(rows, pa.schema([("first", pa.int64()), ("n", pa.int32()), ("payload", pa.binary())]))
 
 
 _compiled: dict[str, object] = {}
@@ -118,11 +129,9 @@ def _automaton(name: str, phrases) -> object:
 
     if name not in _compiled:
         _compiled.clear()
-        built = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        high, low = phrases.value
-        columns = [((high >> np.uint64(s)) & np.uint64(0xFFFF)).tolist() for s in (48, 32, 16, 0)]
-        for word in zip(*columns, low.tolist(), strict=True):
-            built.add_word(word)
+        built = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for phrase in _spelt(phrases.value):
+            built.add_word(phrase)
         built.make_automaton()
         _compiled[name] = built
     return _compiled[name]
@@ -192,7 +201,8 @@ def _locate(name: str, phrases, window: int, n_buckets: int):
                 continue
             best[mark] = doc_id
             automaton = automaton or _automaton(name, phrases)
-            found = np.fromiter((end for end, _ in automaton.iter(tuple(_letters(hashes).tolist()))), np.int64)
+            found = np.fromiter((end for end, _ in automaton.iter(_letters(hashes))), np.int64)
+            found = found[found % 2 == 1] // 2  # ends of whole words
             if not len(found):
                 continue
             phrase, place = _places(hashes, window)
@@ -284,21 +294,20 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = buckets(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counted = docs.mapInArrow(_count(window, n), "bucket int, payload binary")
-    phrases = stored(dealt(counted).mapInArrow(_confirm, "low int, high long, n int, payload binary"), "phrases")
+    phrases = stored(dealt(counted).mapInArrow(_confirm, "first long, n int, payload binary"), "phrases")
     shards, size = [[]], 0
-    for low, high, count in sorted(phrases.select("low", "high", "n").collect()):  # a row for each 65,536 phrases or partition
+    for first, count in sorted(phrases.select("first", "n").collect()):  # a row for each 65,536 phrases or partition
         if size and size + count > SHARD_PHRASES:
             shards.append([])
             size = 0
-        shards[-1].append((low, high))
+        shards[-1].append((first,))
         size += count
     located = None
     for shard in shards:
         if not shard:
             continue
-        rows = phrases.join(spark.createDataFrame(shard, "low int, high long"), ["low", "high"], "left_semi").select("payload").collect()  # SHARD_PHRASES of 10 bytes at most
-        arrays = [split_arrays(r.payload, "<u8", "<u2") for r in rows]
-        held = spark.sparkContext.broadcast(tuple(np.concatenate(x) for x in zip(*arrays, strict=True)))
+        rows = phrases.join(spark.createDataFrame(shard, "first long"), "first", "left_semi").select("payload").collect()  # SHARD_PHRASES of 8 bytes at most
+        held = spark.sparkContext.broadcast(np.concatenate([np.frombuffer(r.payload, "<u8") for r in rows]))
         part = docs.mapInArrow(_locate(uuid.uuid4().hex, held, window, n), "kind int, bucket int, home int, payload binary")
         located = part if located is None else located.unionAll(part)
     texts_home = docs.select(F.coalesce(doc_bucket(F.col("doc_id"), n), F.lit(0)).alias("home"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("payload"))
