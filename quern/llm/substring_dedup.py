@@ -5,11 +5,12 @@ document of smaller id, or earlier in the same one) is removed; windows are judg
 
 1. Recurring passages. Of the k-word phrases in each window the one with the least hash stands for
    it: equal windows, wherever they are, have the same phrase at the same place. Tasks count their
-   phrases first; buckets confirm those that occur at least twice.
-2. Automata. The confirmed phrases are dealt into shards of bounded size; each shard is compiled by
-   pyahocorasick into an automaton over word codes, in the worker that needs it.
-3. Locating. All documents stream through every shard's automaton, which finds each occurrence of its
-   phrases. The windows that a located phrase stands for are named by 96-bit hashes.
+   phrases first; buckets confirm those that occur at least twice and tell the homes (buckets of
+   documents) that hold them.
+2. Automata. The confirmed phrases are sharded by home: pyahocorasick compiles those that a home's
+   documents hold into one automaton over word codes, whose size is bounded by the home's text.
+3. Locating. Every document streams once through its home's automaton, which finds each occurrence of
+   its phrases. The windows that a located phrase stands for are named by 96-bit hashes.
 4. First starts. A task keeps the first start of each window it holds and knows the rest as removed;
    buckets do the same over all tasks. What is removed goes to the document's home and is cut there.
 
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,16 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import stored
 from quern.llm.packed import batches_of, buckets, dealt, doc_bucket, doc_bucket_np, join_arrays, split_arrays, texts
 from quern.llm.text import mixed, sliding_minimum, windows, word_hashes
 
 #: Words in a phrase. The automaton reads two letters of six bits for each word, from its hash: few
 #: children a node. A false hit only adds windows to compare.
 PHRASE = 4
-#: Phrases in an automaton: 200 MB when compiled, at most.
-SHARD_PHRASES = 500_000
-ROW_PHRASES = 1 << 16
 CHUNK = 1_000_000
 _ALPHABET = np.arange(48, 112, dtype=np.uint8)
 
@@ -75,19 +71,22 @@ def _places(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(window: int, n_buckets: int):
+    """Rows of a bucket: phrases that stand for windows, by the home of their document."""
     schema = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
     def flush(held) -> Iterator[tuple]:
-        code = np.sort(np.concatenate(held))
-        at = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        code = np.concatenate([x for _, x in held])
+        home = np.repeat(np.array([h for h, _ in held], np.uint32), [len(x) for _, x in held])
+        bucket = (mixed(code) % np.uint64(n_buckets)).astype(np.int32)
+        order = np.lexsort((code, home, bucket))
+        code, home, bucket = code[order], home[order], bucket[order]
+        at = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (home[1:] != home[:-1])))
         often = np.diff(np.append(at, len(code))) > 1
-        code = code[at]
-        bucket = (mixed(code) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        value = ((code << np.uint64(1)) | often)[order]
-        cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        for b in np.flatnonzero(np.diff(cut)):
-            yield int(b), value[cut[b] : cut[b + 1]].tobytes()
+        value, home, bucket = (code[at] << np.uint64(1)) | often, home[at], bucket[at]
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(value)], strict=True):
+            run = np.flatnonzero(np.append(True, home[a + 1 : b] != home[a : b - 1]))
+            yield int(bucket[a]), join_arrays(home[a:b][run], np.diff(np.append(run, b - a)).astype("<u4"), value[a:b])
 
     def rows(batches) -> Iterator[tuple]:
         held, n = [], 0
@@ -96,9 +95,8 @@ def _count(window: int, n_buckets: int):
             if doc_id is None or len(hashes) < window:
                 continue
             _, place = _places(hashes, window)
-            at = np.unique(place)
-            held.append(_codes(hashes)[at])
-            n += len(at)
+            held.append(((doc_id ^ (doc_id >> 9)) % n_buckets, _codes(hashes)[np.unique(place)]))
+            n += len(held[-1][1])
             if n >= CHUNK:
                 yield from flush(held)
                 held, n = [], 0
@@ -109,32 +107,39 @@ def _count(window: int, n_buckets: int):
 
 
 def _confirm(batches) -> Iterator[pa.RecordBatch]:
-    parts = [np.frombuffer(p, "<u8") for batch in batches for p in batch.column(1).to_pylist()]
-    if not parts:
+    """Of whole buckets: for each home its phrases that occur at least twice."""
+    values, homes = [], []
+    for batch in batches:
+        for payload in batch.column(1).to_pylist():
+            home, count, value = split_arrays(payload, "<u4", "<u4", "<u8")
+            values.append(value)
+            homes.append(np.repeat(home, count))
+    if not values:
         return
-    value = np.sort(np.concatenate(parts))
+    value, home = np.concatenate(values), np.concatenate(homes)
+    del values, homes
+    order = np.argsort(value, kind="stable")
+    value, home = value[order], home[order]
     code = value >> np.uint64(1)
     at = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-    code = code[at[(np.diff(np.append(at, len(code))) > 1) | (np.bitwise_or.reduceat(value, at) & np.uint64(1) == 1)]]
-    rows = ((int(code[a]), len(code[a : a + ROW_PHRASES]), code[a : a + ROW_PHRASES].tobytes()) for a in range(0, len(code), ROW_PHRASES))
-    yield from batches_of(rows, pa.schema([("first", pa.int64()), ("n", pa.int32()), ("payload", pa.binary())]))
-
+    length = np.diff(np.append(at, len(code)))
+    keep = np.repeat((length > 1) | (np.bitwise_or.reduceat(value, at) & np.uint64(1) == 1), length)
+    code, home = code[keep], home[keep]
+    order = np.argsort(home, kind="stable")
+    code, home = code[order], home[order]
+    cut = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(home) else np.empty(0, np.int64)
+    rows = ((int(home[a]), np.unique(code[a:b]).tobytes()) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(home)], strict=False))
+    yield from batches_of(rows, pa.schema([("home", pa.int32()), ("payload", pa.binary())]))
 
-_compiled: dict[str, object] = {}
 
-
-def _automaton(name: str, phrases) -> object:
-    """The shard's automaton; a worker holds one at a time."""
+def _automaton(codes: np.ndarray):
     import ahocorasick
 
-    if name not in _compiled:
-        _compiled.clear()
-        built = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for phrase in _spelt(phrases.value):
-            built.add_word(phrase)
-        built.make_automaton()
-        _compiled[name] = built
-    return _compiled[name]
+    built = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for phrase in _spelt(codes):
+        built.add_word(phrase)
+    built.make_automaton()
+    return built
 
 
 def _cover(doc: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
@@ -165,7 +170,9 @@ def _removed_rows(doc_ids, digests, doc: np.ndarray, start: np.ndarray, window:
 _LOCATED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("home", pa.int32()), ("payload", pa.binary())])
 
 
-def _locate(name: str, phrases, window: int, n_buckets: int):
+def _locate(window: int, n_buckets: int):
+    """Rows of a home: its phrases first, then its documents."""
+
     def flush(held) -> Iterator[tuple]:
         doc_ids, digests = (np.array([x[i] for x in held], "<i8") for i in (0, 1))
         doc = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
@@ -184,11 +191,25 @@ def _locate(name: str, phrases, window: int, n_buckets: int):
             which, count = np.unique(doc[rows], return_counts=True)
             yield 0, int(b), 0, join_arrays(doc_ids[which], digests[which], count.astype("<u4"), start[rows].astype("<u4"), h1[rows], h2[rows])
 
+    def documents(batches, phrases: list[np.ndarray]) -> Iterator[tuple[int | None, bytes]]:
+        for batch in batches:
+            kinds, ids, column = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.large_binary())
+            for i, kind in enumerate(kinds):
+                if kind == 0:
+                    phrases.append(np.frombuffer(batch.column(4)[i].as_py(), "<u8"))
+                else:
+                    yield ids[i], column[i].as_py() or b""
+
     def rows(batches) -> Iterator[tuple]:
-        automaton = None
+        automaton, phrases = None, []
         best: dict[bytes, int] = {}
         held, n = [], 0
-        for doc_id, text in texts(batches):
+        for doc_id, text in documents(batches, phrases):
+            if automaton is None:
+                if not phrases:
+                    return  # nothing recurs here
+                automaton = _automaton(np.unique(np.concatenate(phrases)))
+                phrases.clear()
             hashes, _, _ = word_hashes(text)
             if doc_id is None or len(hashes) < window:
                 continue
@@ -200,7 +221,6 @@ def _locate(name: str, phrases, window: int, n_buckets: int):
                 yield from _removed_rows(np.array([doc_id], "<i8"), np.array([digest], "<i8"), np.zeros(len(start), int), start, 1, n_buckets)
                 continue
             best[mark] = doc_id
-            automaton = automaton or _automaton(name, phrases)
             found = np.fromiter((end for end, _ in automaton.iter(_letters(hashes))), np.int64)
             found = found[found % 2 == 1] // 2  # ends of whole words
             if not len(found):
@@ -294,24 +314,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = buckets(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counted = docs.mapInArrow(_count(window, n), "bucket int, payload binary")
-    phrases = stored(dealt(counted).mapInArrow(_confirm, "first long, n int, payload binary"), "phrases")
-    shards, size = [[]], 0
-    for first, count in sorted(phrases.select("first", "n").collect()):  # a row for each 65,536 phrases or partition
-        if size and size + count > SHARD_PHRASES:
-            shards.append([])
-            size = 0
-        shards[-1].append((first,))
-        size += count
-    located = None
-    for shard in shards:
-        if not shard:
-            continue
-        rows = phrases.join(spark.createDataFrame(shard, "first long"), "first", "left_semi").select("payload").collect()  # SHARD_PHRASES of 8 bytes at most
-        held = spark.sparkContext.broadcast(np.concatenate([np.frombuffer(r.payload, "<u8") for r in rows]))
-        part = docs.mapInArrow(_locate(uuid.uuid4().hex, held, window, n), "kind int, bucket int, home int, payload binary")
-        located = part if located is None else located.unionAll(part)
-    texts_home = docs.select(F.coalesce(doc_bucket(F.col("doc_id"), n), F.lit(0)).alias("home"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("payload"))
-    if located is not None:
-        gone = dealt(located).mapInArrow(_resolve(window, n), "kind int, bucket int, home int, payload binary")
-        texts_home = gone.select("home", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "payload").unionAll(texts_home)
+    answers = dealt(counted).mapInArrow(_confirm, "home int, payload binary")
+    own = docs.select(F.coalesce(doc_bucket(F.col("doc_id"), n), F.lit(0)).alias("home"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("payload"))
+    note = lambda df: df.select("home", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "payload")
+    located = dealt(note(answers).unionAll(own), "home").sortWithinPartitions("kind").mapInArrow(_locate(window, n), "kind int, bucket int, home int, payload binary")
+    gone = dealt(located).mapInArrow(_resolve(window, n), "kind int, bucket int, home int, payload binary")
+    texts_home = note(gone).unionAll(own)
     return dealt(texts_home, "home").sortWithinPartitions("kind").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
