@@ -314,7 +314,8 @@ def _finish(grouped: DataFrame, q: AggregateQuery, profile: Profile, unit: Unit)
     kinds |= {a.alias: unit.column(a.column) for a in profile.aggregates if isinstance(a, (Min, Max, FirstBy))}
     terms = list(q.order) + [(g, False) for g in profile.group_aliases() if g not in {n for n, _ in q.order}]
     key = lambda n: order_key(kinds[n], F.col(f"`{n}`")) if n in kinds else F.col(f"`{n}`")
-    grouped = grouped.orderBy(*(key(n).desc_nulls_last() if down else key(n).asc_nulls_first() for n, down in terms))
+    if terms:
+        grouped = grouped.orderBy(*(key(n).desc_nulls_last() if down else key(n).asc_nulls_first() for n, down in terms))
     if q.take:
         grouped = grouped.limit(q.take)
     return grouped.select(*(f"`{a}`" for a in profile.aliases()))
