@@ -70,16 +70,50 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.length(text), text).alias("b"))
 
 
+#: Edges that a task reduces to a forest at a time.
+FOREST_EDGES = 50_000
+
+
+def _forest(batches):
+    """Of the edges that a task reads, a block at a time, those that connect something."""
+    import pyarrow as pa
+
+    parent: dict[int, int] = {}
+    seen = 0
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(p, p)
+        return x
+
+    for batch in batches:
+        a, b = [], []
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if (seen := seen + 1) % (4 * FOREST_EDGES) == 0:
+                parent.clear()
+            p, q = root(x), root(y)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                a.append(x)
+                b.append(y)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) longs: (node, component) with the smallest node reachable.
 
     Alternating large-star and small-star steps, each two aggregations and a join over edges; a
     star's centre is never gathered into one list, so a hot node costs rows, not memory. Every round
     is written to the shared folder. Rounds grow with the logarithm of the longest path; the limit
-    only guards against an endless loop and raises.
+    only guards against an endless loop and raises. First, tasks drop the edges within what their
+    block of about FOREST_EDGES connects already: of many links in a dense group about one a node stays.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     current = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    blocks = -(-current.count() // FOREST_EDGES)
+    if blocks:
+        current = stored(current.repartition(blocks).mapInArrow(_forest, "a long, b long"), "forest")
     state = None
     for _ in range(rounds):
         around = both(current)

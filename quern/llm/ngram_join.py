@@ -5,7 +5,7 @@ their sets reaches the threshold; the answer is each document's connected compon
 exact for shingles held as 64-bit hashes.
 
 1. Relevance. A set with a partner shares at least threshold of its tokens with it. Every task sends
-   its distinct tokens (short hashes, delta-coded) to token buckets, which answer with those that
+   its distinct tokens (short hashes, five bytes each) to token buckets, which answer with those that
    occur in more than one document. A set in which fewer recur is skipped with all its tokens: most
    of a corpus ends here, and no list is ever built for it.
 2. Index lists. Of what is left, equal sets are one class. Tokens are ordered globally by a corpus
@@ -15,7 +15,7 @@ exact for shingles held as 64-bit hashes.
 3. Answers. A short list yields its pairs. In a long list, sets that are highly similar share their
    answers: first only the pairs with the list's head and the predecessor are verified. Sets so
    connected have one answer; of a long list's remaining pairs only those between different answers
-   are derived and verified. No pair within one answer is ever built.
+   are derived, a block of the list against another, and verified. No pair within one answer is ever built.
 4. Every pair passes a parity bitmap (an upper bound of the overlap) and is verified on full sets.
 
 Edges: null or word-less text is an empty set and links with nothing; fewer than k words make one
@@ -36,16 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import components, forget, stored
-from quern.llm.packed import batches_of, buckets, dealt, doc_bucket, doc_bucket_np, join_arrays, partitions, split_arrays, texts
+from quern.llm.packed import batches_of, buckets, dealt, doc_bucket, join_arrays, split_arrays, texts
 from quern.llm.text import mixed, windows, word_hashes
 
 #: Bits of a token in the relevance step. Equal short hashes of different tokens only keep a set.
-SHORT_BITS = 44
+SHORT_BITS, HOME_BITS = 44, 20
 #: Tokens a task gathers before it sends them.
 CHUNK = 2_000_000
 SKETCH_BITS, SKETCH_PARTS = 20, 16
 #: Lists up to this length yield all their pairs at once.
-SHORT_LIST = 16
+SHORT_LIST = 4
+#: Members of a long list that a task compares with as many others at a time.
+LIST_BLOCK = 512
+FOREST_ROUNDS = 3
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -70,68 +73,76 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def _send(k: int, n_buckets: int):
-    schema = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("payload", pa.binary())])
-
-    def flush(homes: list[np.ndarray], tokens: list[np.ndarray]) -> Iterator[tuple]:
-        home, token = np.concatenate(homes), np.concatenate(tokens)
-        bucket = (mixed(token) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.lexsort((token, home, bucket))
-        home, token, bucket = home[order], token[order], bucket[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (home[1:] != home[:-1]) | (bucket[1:] != bucket[:-1])
-        at = np.flatnonzero(new)
-        often = np.diff(np.append(at, len(token))) > 1
-        home, token, bucket = home[at], token[at], bucket[at]
-        value = (token << np.uint64(1)) | often
-        cut = np.flatnonzero(np.append(True, (home[1:] != home[:-1]) | (bucket[1:] != bucket[:-1])))
-        for a, b in zip(cut, np.append(cut[1:], len(value)), strict=True):
-            steps = np.diff(value[a:b], prepend=np.uint64(0))
-            yield int(bucket[a]), int(home[a]), join_arrays(value[a : a + 1], steps[1:].astype("<u4")) if not len(steps[1:]) or steps[1:].max() < 1 << 32 else join_arrays(value[a:b], np.empty(0, "<u4"))
+def _bucket_bits(n_buckets: int) -> int:
+    """Leading bits of a short token that name its bucket: at least n_buckets buckets, 32 and more."""
+    return min(HOME_BITS, max(5, (n_buckets - 1).bit_length()))
+
+
+def _send(k: int, n_homes: int, bits: int):
+    """Rows of a bucket: short tokens without their leading bits, by the home of their document; five bytes a token."""
+    schema = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
+    low_bits = SHORT_BITS - bits
+    low_mask = np.uint64((1 << low_bits) - 1)
+
+    def flush(held: list[np.ndarray]) -> Iterator[tuple]:
+        key = np.sort(np.concatenate(held))
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        often = np.diff(np.append(at, len(key))) > 1  # in more than one document of this home
+        key = key[at]
+        value = ((key & low_mask) << np.uint64(1)) | often
+        home = (key >> np.uint64(low_bits)) & np.uint64((1 << HOME_BITS) - 1)
+        bucket = (key >> np.uint64(low_bits + HOME_BITS)).astype(np.int64)
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True):
+            run = np.flatnonzero(np.append(True, home[a + 1 : b] != home[a : b - 1]))
+            yield int(bucket[a]), join_arrays(home[a:b][run].astype("<u4"), np.diff(np.append(run, b - a)).astype("<u4"), value[a:b].astype("<u4"), (value[a:b] >> np.uint64(32)).astype("u1"))
 
     def rows(batches) -> Iterator[tuple]:
-        homes, tokens, held = [], [], 0
+        held, n = [], 0
         for doc_id, text in texts(batches):
             if doc_id is None:
                 continue
             got = np.unique(_short(shingles(text, k)))
-            homes.append(np.full(len(got), doc_bucket_np(np.array([doc_id]), n_buckets)[0], np.int32))
-            tokens.append(got)
-            held += len(got)
-            if held >= CHUNK:
-                yield from flush(homes, tokens)
-                homes, tokens, held = [], [], 0
-        if held:
-            yield from flush(homes, tokens)
+            home = np.uint64((doc_id ^ (doc_id >> 9)) % n_homes)
+            held.append(((got >> np.uint64(low_bits)) << np.uint64(low_bits + HOME_BITS)) | (home << np.uint64(low_bits)) | (got & low_mask))
+            n += len(got)
+            if n >= CHUNK:
+                yield from flush(held)
+                held, n = [], 0
+        if n:
+            yield from flush(held)
 
     return lambda batches: batches_of(rows(batches), schema)
 
 
-def _recurring(batches) -> Iterator[pa.RecordBatch]:
+def _recurring(bits: int):
     """Of whole buckets: for each home the tokens that occur in more than one document."""
-    homes, pieces = [], []
-    for batch in batches:
-        for home, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            first, steps = split_arrays(payload, "<u8", "<u4")
-            piece = first if len(first) > 1 or not len(steps) else np.cumsum(np.append(first, steps.astype(np.uint64)), dtype=np.uint64)
-            pieces.append(piece)
-            homes.append(np.full(len(piece), home, np.int32))
-    if not pieces:
-        return
-    value, home = np.concatenate(pieces), np.concatenate(homes)
-    del pieces, homes
-    token, often = value >> np.uint64(1), (value & np.uint64(1)).astype(bool)
-    order = np.argsort(token, kind="stable")
-    token, home, often = token[order], home[order], often[order]
-    start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    length = np.diff(np.append(start, len(token)))
-    keep = np.repeat((length > 1) | np.logical_or.reduceat(often, start), length)
-    token, home = token[keep], home[keep]
-    order = np.lexsort((token, home))
-    token, home = token[order], home[order]
     schema = pa.schema([("home", pa.int32()), ("payload", pa.binary())])
-    cut = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(home) else np.empty(0, int)
-    yield from batches_of(((int(home[a]), np.unique(token[a:b]).tobytes()) for a, b in zip(cut, np.append(cut[1:], len(token)), strict=True)), schema)
+    low_bits, home_bits, home_mask = SHORT_BITS - bits, np.uint64(HOME_BITS), np.uint64((1 << HOME_BITS) - 1)
+
+    def rows(batches) -> Iterator[tuple]:
+        pieces = []
+        for batch in batches:
+            for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                home, count, low, high = split_arrays(payload, "<u4", "<u4", "<u4", "u1")
+                value = low | (high.astype(np.uint64) << np.uint64(32))
+                key = (((np.uint64(bucket) << np.uint64(low_bits)) | (value >> np.uint64(1))) << home_bits) | np.repeat(home, count)
+                pieces.append(key)
+                pieces.append(key[(value & np.uint64(1)) == 1])  # twice: it recurs already
+        if not pieces:
+            return
+        key = np.sort(np.concatenate(pieces))
+        pieces.clear()
+        token = key >> home_bits
+        same = token[1:] == token[:-1]
+        key = key[np.append(same, False) | np.append(False, same)]
+        key = np.sort(((key & home_mask) << np.uint64(SHORT_BITS)) | (key >> home_bits))
+        home = (key >> np.uint64(SHORT_BITS)).astype(np.int64)
+        cut = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(key) else np.empty(0, np.int64)
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=False):
+            yield int(home[a]), np.unique(key[a:b] & np.uint64((1 << SHORT_BITS) - 1)).tobytes()
+
+    return lambda batches: batches_of(rows(batches), schema)
 
 
 _KEPT = "doc_id long, n int, d1 long, d2 long, part int, payload binary"
@@ -152,6 +163,7 @@ def _judge(k: int, num: int, den: int):
     def rows(batches) -> Iterator[tuple]:
         pieces, known, seen = [], None, set()
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counted, n = [], 0
         for batch in batches:
             kinds, ids, payloads = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4)
             column = batch.column(3).cast(pa.large_binary())
@@ -171,9 +183,14 @@ def _judge(k: int, num: int, den: int):
                 found = known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short
                 if int(found.sum()) >= needed(len(tokens), num, den):
                     seen.add((d1, d2))
-                    sketch += np.bincount((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
+                    counted.append((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
+                    if (n := n + len(tokens)) >= CHUNK:
+                        sketch += np.bincount(np.concatenate(counted), minlength=len(sketch)).astype(np.uint32)
+                        counted, n = [], 0
                     yield None, len(tokens), d1, d2, -2, tokens.tobytes()
         if seen:
+            if counted:
+                sketch += np.bincount(np.concatenate(counted), minlength=len(sketch)).astype(np.uint32)
             for part, piece in enumerate(np.split(sketch, SKETCH_PARTS)):
                 yield None, None, None, None, part, zlib.compress(piece.astype("<u4").tobytes(), 1)
 
@@ -304,6 +321,68 @@ def _bound(batches) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a1", "a2", "b1", "b2"]).filter(pa.array(keep))
 
 
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Parity bitmaps of rows, folded to width."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, width // 8), 1)
+
+
+def _across(num: int, den: int, forest: int):
+    """Of two blocks of a list the pairs between different answers that length, position and parity bounds leave.
+
+    forest, if not 0: of those, in an order drawn by this number, only pairs that connect answers not
+    connected by the pairs before them.
+    """
+    schema = pa.schema([(c, pa.int64()) for c in ("a1", "a2", "b1", "b2")])
+
+    def run(table: pa.Table) -> pa.Table:
+        own, size, position, answer, a1, a2 = (table.column(c).to_numpy() for c in ("own", "size", "position", "answer", "a1", "a2"))
+        size, position = size.astype(np.int64), position.astype(np.int64)
+        parity = table.column("parity").to_pylist()
+        i0 = own.min() if len(own) else 0
+        left, right = np.flatnonzero(own == i0), np.flatnonzero(own != i0)
+        if not len(right):
+            right = left  # a block with itself
+        x, y = (g.ravel() for g in np.meshgrid(left, right, indexing="ij"))
+        keep = (answer[x] < answer[y]) if right is left else (answer[x] != answer[y])
+        x, y = x[keep], y[keep]
+        small, large = np.where(size[x] <= size[y], x, y), np.where(size[x] <= size[y], y, x)
+        keep = fit(size[small], position[small], size[large], position[large], num, den)
+        small, large = small[keep], large[keep]
+        width = np.array([8 * len(p) for p in parity])
+        good = np.zeros(len(small), bool)
+        least = np.minimum(width[small], width[large])
+        for w in np.unique(least):
+            at = np.flatnonzero(least == w)
+            used = np.unique(np.concatenate([small[at], large[at]]))
+            rows = np.stack([_folded(np.frombuffer(parity[r], np.uint8)[None], int(w))[0] for r in used]).view(np.uint64)
+            for a in range(0, len(at), 100_000):
+                part = at[a : a + 100_000]
+                differ = np.bitwise_count(rows[np.searchsorted(used, small[part])] ^ rows[np.searchsorted(used, large[part])]).sum(1)
+                both = size[small[part]] + size[large[part]]
+                good[part] = (both - differ) // 2 * (num + den) >= num * both
+        s, l = small[good], large[good]
+        if forest and len(s):
+            parent = {a: a for a in np.unique(answer).tolist()}
+
+            def root(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            keep = []
+            drawn = np.random.default_rng(forest).permutation(len(s))
+            s, l = s[drawn], l[drawn]
+            for n, (p, q) in enumerate(zip(answer[s].tolist(), answer[l].tolist(), strict=True)):
+                p, q = root(p), root(q)
+                if p != q:
+                    parent[p] = q
+                    keep.append(n)
+            s, l = s[keep], l[keep]
+        return pa.Table.from_arrays([pa.array(c) for c in (a1[s], a2[s], a1[l], a2[l])], schema=schema)
+
+    return run
+
+
 def _verify(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -334,9 +413,15 @@ def _links(pairs: DataFrame, sets: DataFrame, bitmaps: DataFrame, num: int, den:
         .withColumns({"num": F.lit(num), "den": F.lit(den)})
         .mapInArrow(_bound, _FOUR)
     )
+    return _similar(near, sets, num, den)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of distinct pairs those whose full sets are similar enough."""
+    side = lambda s, name: sets.select(F.col("d1").alias(s + "1"), F.col("d2").alias(s + "2"), F.col("payload").alias(name))
     return (
-        near.join(side(sets, "a", F.col("payload").alias("ta")), ["a1", "a2"])
-        .join(side(sets, "b", F.col("payload").alias("tb")), ["b1", "b2"])
+        pairs.join(side("a", "ta"), ["a1", "a2"])
+        .join(side("b", "tb"), ["b1", "b2"])
         .withColumns({"num": F.lit(num), "den": F.lit(den)})
         .select("a1", "a2", "b1", "b2", "ta", "tb", "num", "den")
         .mapInArrow(_verify, _FOUR)
@@ -350,12 +435,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     an answer already are skipped, and copies are one class.
     """
     spark = docs.sparkSession
-    num, den, n_buckets, wide = percent, 100, buckets(spark), partitions(spark)
+    num, den, n_buckets = percent, 100, buckets(spark)
+    n_homes, bits = min(n_buckets, 1 << HOME_BITS), _bucket_bits(n_buckets)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sent = docs.mapInArrow(_send(k, n_buckets), "bucket int, home int, payload binary")
-    answers = dealt(sent).mapInArrow(_recurring, "home int, payload binary")
+    sent = docs.mapInArrow(_send(k, n_homes, bits), "bucket int, payload binary")
+    answers = dealt(sent).mapInArrow(_recurring(bits), "home int, payload binary")
     both = answers.select("home", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "payload").unionAll(
-        docs.select(F.coalesce(doc_bucket(F.col("doc_id"), n_buckets), F.lit(0)).alias("home"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("payload"))
+        docs.select(F.coalesce(doc_bucket(F.col("doc_id"), n_homes), F.lit(0)).alias("home"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("payload"))
     )
     judged = stored(dealt(both, "home").sortWithinPartitions("kind").mapInArrow(_judge(k, num, den), _KEPT), "judged")
     rows = judged.where("part = -1").select("doc_id", "n", "d1", "d2")
@@ -383,32 +469,30 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated = same.join(first_of, "a", "left_semi")
     edges = stored(named(links).unionAll(repeated), "edges")
     found = components(edges)
-    members = walked.where("list is not null").join(classes, (F.col("a1") == classes.d1) & (F.col("a2") == classes.d2)).join(found, "node", "left")
-    members = stored(members.select("list", "a1", "a2", "position", F.col("size"), F.coalesce("component", "node").alias("answer")), "members")
-    mixed_lists = members.groupBy("list").agg(F.min("answer").alias("lo"), F.max("answer").alias("hi")).where("lo < hi").select("list")
-    left = members.join(mixed_lists, "list", "left_semi")
-    x, y = (left.select("list", *(F.col(c).alias(c + s) for c in ("a1", "a2", "position", "size", "answer"))) for s in ("_x", "_y"))
-    low, high = F.least("size_x", "size_y"), F.greatest("size_x", "size_y")
-    rest = (
-        x.join(y, "list")
-        .where(
-            (F.col("answer_x") < F.col("answer_y"))
-            & (low * den >= high * num)
-            & (F.least("position_x", "position_y") + 1 + F.least(F.col("size_x") - F.col("position_x") - 1, F.col("size_y") - F.col("position_y") - 1) >= F.ceil((low + high) * num / (num + den)))
-        )
-        .select(F.col("a1_x").alias("a1"), F.col("a2_x").alias("a2"), F.col("a1_y").alias("b1"), F.col("a2_y").alias("b2"))
-        .distinct()
-    )
-    more = stored(_links(rest, sets, bitmaps, num, den), "more-links")
-    if not more.isEmpty():
+    every = links
+    lists = walked.where("list is not null").join(classes, (F.col("a1") == classes.d1) & (F.col("a2") == classes.d2))
+    lists = stored(lists.select("list", "a1", "a2", "position", "size", "node"), "members")
+    # pairs within long lists: first a few that would join answers, until that joins none; then all pairs
+    # between the answers that are left, which are few
+    for forest in (*range(1, FOREST_ROUNDS + 1), 0):
+        members = lists.join(found, "node", "left").withColumn("answer", F.coalesce("component", "node"))
+        shape = members.groupBy("list").agg(F.min("answer").alias("lo"), F.max("answer").alias("hi"), F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"))
+        left = members.join(shape.where("lo < hi"), "list").join(bitmaps.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), "parity"), ["a1", "a2"])
+        # a member meets every block of its list: rows (list, i, j) with i <= j hold blocks i and j
+        left = left.withColumn("own", F.pmod("a1", F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        left = left.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a1", "a2", "position", "size", "answer", "parity")
+        pairs = left.groupBy("list", "i", "j").applyInArrow(_across(num, den, forest), _FOUR).distinct()
+        more = stored(_similar(pairs, sets, num, den), "more-links")
+        if more.isEmpty():
+            continue
+        every = every.unionAll(more)
         edges = stored(edges.unionAll(named(more)), "all-edges")
         found = components(edges)
-    n_links = named(links.unionAll(more)).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    n_links = named(every).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     by_class = stored(classes.join(found, "node", "left").join(n_links, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "by-class")
-    out = rows.join(by_class, ["d1", "d2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    for used in (sets, walked, bitmaps, members):
+    out = rows.join(by_class, ["d1", "d2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    for used in (sets, walked, bitmaps, lists):
         forget(used)
-    del wide
     return out
 
 
