@@ -111,10 +111,11 @@ def packed(docs: DataFrame, words: Column, source: Column, cluster: Column, id_c
 
 
 def with_bins(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """docs with a column bins: for each piece its start, words and bin. Clusters are exact copies of a text."""
+    """docs with a column bins (one of that name is replaced): for each piece its start, words and bin. Clusters are exact copies of a text."""
     words, cluster = n_words(F.col(text_col)), F.xxhash64(F.col(text_col)).cast("string")
     found = packed(docs, words, F.col(source_col), cluster, id_col, capacity)
-    # rows that are alike in all that counts share the key; each takes one of its pieces' lists, by number
-    lists = found.groupBy("row", F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("piece", "start_word", "n_words", "bin_id"))).alias("bins"))
-    key = docs.withColumn("__row", F.xxhash64(F.col(id_col).cast("long"), words.cast("long"), F.col(source_col).cast("string"), cluster))
-    return key.join(lists, (F.col("__row") == F.col("row")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").select(*[docs[c] for c in docs.columns], "bins")
+    # rows that are alike in all that counts share one list
+    lists = found.groupBy(F.col("row").alias("__row"), F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("piece", "start_word", "n_words", "bin_id"))).alias("__bins"))
+    row = F.xxhash64(docs[id_col].cast("long"), words.cast("long"), docs[source_col].cast("string"), cluster)
+    both = docs.join(lists, (row == F.col("__row")) & docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left")
+    return both.select(*(docs[c] for c in docs.columns if c != "bins"), F.col("__bins").alias("bins"))
