@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import oracle
 from quern.llm.common import table
 
 
@@ -75,7 +76,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.ngram_join import similar_documents
 
-    return similar_documents(table(spark, sf_dir, "documents"))
+    return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,4 +109,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_substring_dedup": oracle.OP3, "op6_decontamination": oracle.OP6, "op7_licenses": oracle.OP7, "op8_ngram_join": oracle.OP8}
