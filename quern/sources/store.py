@@ -555,6 +555,21 @@ class UnitOfWork:
         self.session._check(write.values, write.mode == "insert")
         self.staged.append(write)
 
+    def read(self, **key: Any) -> dict[str, Any] | None:
+        """The row as the staged writes will leave it; nothing is committed."""
+        row = self.session.read(**key)
+        now = None if row is None else {n: row[n] for n in self.session.unit.visible()}
+        wanted = tuple(key[k] for k in self.session.unit.key)
+        mine = [w for w in self.staged if tuple(w.values[k] for k in self.session.unit.key) == wanted]
+        if not mine:
+            return now
+        last = mine[-1]
+        if last.mode in ("delete", "compare-and-delete"):
+            return None
+        if last.mode == "update" and now is None:
+            return None
+        return (now or {c.name: c.default for c in self.session.unit.columns}) | dict(last.values)
+
     def _coalesced(self) -> tuple[dict[tuple, list[tuple[int, Write]]], dict[int, int]]:
         last: dict[tuple, int] = {}
         superseded: dict[int, int] = {}

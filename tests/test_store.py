@@ -106,6 +106,7 @@ def test_unit_of_work(store):
         work.stage(first)
     for w in (Write("upsert", {"k": "b", "v": 2}), Write("upsert", {"k": "a", "v": 3, "note": "n"}), Write("insert", {"k": "c"})):
         work.stage(w)
+    assert work.read(k="a")["v"] == 3 and work.read(k="z") is None and store.session(ITEMS).read(k="a") is None
     out = work.commit()
     assert (out["submitted"], out["applied"], out["superseded"], out["Inserted"]) == (4, 3, 1, 3)
     assert out["outcomes"] == ["Superseded:2", "Inserted", "Inserted", "Inserted"]
