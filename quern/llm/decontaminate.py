@@ -62,7 +62,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col
     a, b = shifted(first, 1), shifted(second, 2)
     near = (F.col("s1") == F.col("s2")) if slop == 0 else F.abs(F.col("s1") - F.col("s2")).between(0, window + slop)
     met = a.join(b.select(*(F.col(c).alias("_" + c) for c in (*_KEY, "wid")), "s2"), (F.col("ka") == F.col("_ka")) & (F.col("kb") == F.col("_kb")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("wid") == F.col("_wid")) & near)
-    met = met.select(*_KEY, "wid", F.col("s1").alias("s")).unionAll(a.join(F.broadcast(lone) if broadcast_rows else lone, "wid", "left_semi").select(*_KEY, "wid", F.col("s1").alias("s"))).where("s >= 0" if slop == 0 else "s > -1000000").distinct()
+    met = met.select(*_KEY, "wid", F.col("s1").alias("s")).unionAll(a.join(few(lone), "wid", "left_semi").select(*_KEY, "wid", F.col("s1").alias("s"))).where("s >= 0" if slop == 0 else "s > -1000000").distinct()
     found = stored(met.join(few(windows), "wid").groupBy(*_KEY).agg(F.collect_list(F.struct("s", "words", "items")).alias("c")), "candidates")
     of = found.select(F.col("doc_id").alias("_doc_id"), F.col("ka").alias("_ka"), F.col("kb").alias("_kb"), "c")
     checked = keyed.join(of, (F.col("ka") == F.col("_ka")) & (F.col("kb") == F.col("_kb")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))).select(*_KEY, "c", plain_words(F.col("text")).alias("w"))
