@@ -73,10 +73,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def fit_arrays(rows: np.ndarray, labels: np.ndarray, rank: int = RANK, neighbours: int = NEIGHBOURS) -> Voters:
+    """rows (float32) are used up."""
     if not len(rows):
         return Voters(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5, neighbours)
     weights = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))) + 1).astype(np.float32)
-    x = _unit(np.log1p(rows) * weights).astype(np.float32)
+    x = np.log1p(rows, out=rows)  # in place: the driver holds one copy
+    x *= weights
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     rank = max(1, min(rank, *x.shape))
     draw = np.random.default_rng(7).standard_normal((x.shape[1], min(rank + 16, *x.shape))).astype(np.float32)
     base = np.linalg.qr(x @ draw)[0]
