@@ -70,8 +70,8 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.length(text), text).alias("b"))
 
 
-#: Edges that a task reduces to a forest at a time.
-FOREST_EDGES = 50_000
+#: Edges that a task reduces to a forest at a time, or labels if there are no more.
+FOREST_EDGES = 200_000
 
 
 def _forest(batches):
@@ -90,7 +90,7 @@ def _forest(batches):
         a, b = [], []
         for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if (seen := seen + 1) % (4 * FOREST_EDGES) == 0:
-                parent.clear()
+                parent.clear()  # a full block: the next one is reduced on its own
             p, q = root(x), root(y)
             if p != q:
                 parent[max(p, q)] = min(p, q)
@@ -100,6 +100,26 @@ def _forest(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _labels(batches):
+    """Components of all edges that a task reads: (node, component)."""
+    import pyarrow as pa
+
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(p, p)
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            p, q = root(x), root(y)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+    nodes = sorted(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) longs: (node, component) with the smallest node reachable.
 
@@ -108,12 +128,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     is written to the shared folder. Rounds grow with the logarithm of the longest path; the limit
     only guards against an endless loop and raises. First, tasks drop the edges within what their
     block of about FOREST_EDGES connects already: of many links in a dense group about one a node stays.
+    Edges that are one block are labelled by one task.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     current = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     blocks = -(-current.count() // FOREST_EDGES)
-    if blocks:
-        current = stored(current.repartition(blocks).mapInArrow(_forest, "a long, b long"), "forest")
+    if blocks <= 1:  # one block is one task's work: its labels are final
+        return stored(current.coalesce(1).mapInArrow(_labels, "node long, component long"), "labels")
+    current = stored(current.repartition(blocks).mapInArrow(_forest, "a long, b long"), "forest")
     state = None
     for _ in range(rounds):
         around = both(current)

@@ -48,7 +48,7 @@ SKETCH_BITS, SKETCH_PARTS = 20, 16
 SHORT_LIST = 4
 #: Members of a long list that a task compares with as many others at a time.
 LIST_BLOCK = 512
-FOREST_ROUNDS = 3
+FOREST_ROUNDS = 2
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -444,12 +444,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         docs.select(F.coalesce(doc_bucket(F.col("doc_id"), n_homes), F.lit(0)).alias("home"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("payload"))
     )
     judged = stored(dealt(both, "home").sortWithinPartitions("kind").mapInArrow(_judge(k, num, den), _KEPT), "judged")
-    rows = judged.where("part = -1").select("doc_id", "n", "d1", "d2")
+    rows = stored(judged.where("part = -1").select("doc_id", "n", "d1", "d2"), "documents")
     sets = stored(judged.where("part = -2").select("d1", "d2", "n", "payload").dropDuplicates(["d1", "d2"]), "sets")
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     for part, payload in judged.where("part >= 0").select("part", "payload").repartition(SKETCH_PARTS, "part").mapInArrow(_sum_sketch, "part int, payload binary").collect():  # a megabyte, always
         width = len(levels) // SKETCH_PARTS
         levels[part * width : (part + 1) * width] = np.frombuffer(payload, np.uint8)
+    forget(judged)
     level = spark.sparkContext.broadcast(levels)
     posted = sets.select("d1", "d2", "payload").mapInArrow(_post(level, n_buckets, num, den), "bucket int, payload binary")
     walked = stored(dealt(posted).mapInArrow(_lists(num, den), _PAIR), "lists")
