@@ -34,10 +34,10 @@ class _Model:
         self.t1, self.t2 = np.zeros(n << _BITS1, np.uint16), np.zeros(n << _BITS2, np.uint16)
         self.c1, self.c2 = np.zeros(n << _BITS1, np.uint8), np.zeros(n << _BITS2, np.uint8)
         self.w1, self.w2 = np.full((n, 4), 2000, np.int64).ravel(), np.full((n, 4), 4000, np.int64).ravel()
-        self.high, self.high_sum = np.ones((n, 16, 16), np.uint16), np.full((n, 16), 16, np.int64)
+        self.high, self.high_sum = np.ones((n, 16, 16), np.int32), np.full((n, 16), 16, np.int32)
         self.high_all = np.full(n, 256, np.int64)
         self.highs = highs
-        self.low, self.low_sum = np.ones((n * highs, 16, 16), np.uint16), np.full((n * highs, 16), 16, np.uint32)
+        self.low, self.low_sum = np.ones((n * highs, 16, 16), np.uint16), np.full((n * highs, 16), 16, np.uint16)
         self.low_all = np.full(n * highs, 256, np.int64)
         self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
@@ -82,26 +82,28 @@ class _Model:
             self.low_all[full] = self.low_sum[full].sum(1)
 
 
-_BELOW = np.tril(np.ones((17, 16), np.int64), -1)[:16]
+_BELOW = {k: np.tril(np.ones((17, 16), k), -1)[:16] for k in (np.int32, np.uint16)}
 
 
 def _cumulative(counts, sums, row, symbol):
-    """(counts before symbol, its count)."""
+    """(counts before symbol, its count). All sums of a row stay below 2**16."""
     g, k = symbol >> 4, symbol & 15
     inner = counts[row, g]
-    return (sums[row] * _BELOW[g]).sum(1) + (inner * _BELOW[k]).sum(1), inner[np.arange(len(k)), k].astype(np.int64)
+    below = _BELOW[counts.dtype.type]
+    before = np.einsum("ij,ij->i", sums[row], below[g]).astype(np.int64) + np.einsum("ij,ij->i", inner, below[k])
+    return before, inner[np.arange(len(k)), k].astype(np.int64)
 
 
 def _found(counts, sums, row, value):
     """The symbol whose counts hold value, with counts before it and its own."""
-    upto = np.cumsum(sums[row], 1, dtype=np.int64)
+    upto = np.cumsum(sums[row], 1, dtype=np.int32)
     g = (upto <= value[:, None]).sum(1)
     at = np.arange(len(g))
-    before = np.where(g > 0, upto[at, g - 1], 0)
-    inner = np.cumsum(counts[row, g], 1, dtype=np.int64)
+    before = np.where(g > 0, upto[at, g - 1], 0).astype(np.int64)
+    inner = np.cumsum(counts[row, g], 1, dtype=np.int32)
     k = (inner <= (value - before)[:, None]).sum(1)
     under = np.where(k > 0, inner[at, k - 1], 0)
-    return g * 16 + k, before + under, inner[at, k] - under
+    return g * 16 + k, before + under, (inner[at, k] - under).astype(np.int64)
 
 
 def _shift(low: np.ndarray, span: np.ndarray, m: int):

@@ -75,7 +75,7 @@ def test_quality_is_the_exact_vote(spark):
 
     texts = [b"abc abc abd", b"abc abd abe", b"XX!! YY!! ZZ!!", b"QQ!! YY!! ZZ!!", b"abc XX!!"]
     x, y = np.stack([counts(t) for t in texts]), np.array([1, 1, 0, 0, 1])
-    v = fit_arrays(x, y, rank=3, neighbours=3)
+    v = fit_arrays(x.astype(np.float32), y, rank=3, neighbours=3)
     got = v.scores(np.stack([counts(b"abc abd"), counts(b""), counts(b"ZZ!! XX!!")]))
     p = v.project(np.stack([counts(b"abc abd"), counts(b"ZZ!! XX!!")]))
     for s, q in zip((got[0], got[2]), p, strict=True):
@@ -306,9 +306,13 @@ def test_jaccard_dense_groups(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in want}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [10, 10**6])
+def test_components(spark, monkeypatch, block):
+    import quern.llm.common as common
     from quern.llm.common import components
 
+    monkeypatch.setattr(common, "FOREST_EDGES", block)
+
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)] + [(200, i) for i in range(201, 260)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(i, i) == 0 for i in range(41)) and got[101] == got[102] == 100 and all(got[i] == 200 for i in range(201, 260))
