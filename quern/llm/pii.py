@@ -11,6 +11,8 @@ information about e, log2(P(t | e) / P(t)), is set against the information of e
 rare its contexts are. Terms at or above `disclosure` of it, seen in `support` distinct contexts, are
 disclosing: their places near e are spans of kind "term". Copies share contexts and count once.
 
+Numbers that a base pattern loses because it runs on into the next one are added by stricter patterns.
+
 sanitised() generalises each span to its kind in brackets and removes disclosing terms.
 
 Edges: null counts as empty; each input row gives one row; rows with equal id and text share
@@ -36,6 +38,12 @@ KINDS = {
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Stricter patterns, for numbers that the base pattern loses because it runs on into the next number.
+#: Their matches are added where they meet no base span.
+STRICT = {
+    "phone": r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{14,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])",
+}
 AROUND, DISCLOSURE, SUPPORT = 60, 0.8, 3
 _MARK, _OTHER = "\u0001", "\u0002"
 _KEY = ["doc_id", "ka", "kb"]
@@ -74,25 +82,30 @@ def _running(lengths: Column, blocks: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = AROUND) -> DataFrame:
-    """(doc_id, ka, kb, base): base holds (start, order, end, kind, value, before, after), sorted."""
+    """(doc_id, ka, kb, base, strict): both hold (start, order, end, kind, value, before, after), sorted."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("k"), F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, _OTHER)).otherwise(text).alias("t"))
     needs = {"email": "@", "phone": "+"}  # cheap tests before the pattern
-    rows = rows.select("doc_id", "k", *(F.when(F.contains("t", F.lit(needs[k])) if k in needs else F.col("t").rlike("[0-9]"), _pieces(F.col("t"), p)).alias(k) for k, p in KINDS.items()))
+    patterns = KINDS | {f"strict_{k}": p for k, p in STRICT.items()}
+    test = lambda k: F.contains("t", F.lit(needs[k])) if k in needs else F.col("t").rlike("[0-9]")
+    rows = rows.select("doc_id", "k", *(F.when(test(k.removeprefix("strict_")), _pieces(F.col("t"), p)).alias(k) for k, p in patterns.items()))
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,value:string,before:string,after:string>>")
 
-    def spans(kind: str, order: int) -> Column:
+    def spans(name: str) -> Column:
+        kind = name.removeprefix("strict_")
+        order = list(KINDS).index(kind)
+
         def span(value: Column, i: Column) -> Column:
-            start = F.get(F.col(f"at_{kind}"), i)
+            start = F.get(F.col(f"at_{name}"), i)
             return F.when(
                 (i % 2 == 1) & _holds(kind, value),
-                F.struct(start.alias("start"), F.lit(order).alias("order"), (start + F.length(value)).alias("end"), F.lit(kind).alias("kind"), value.alias("value"), F.substring(F.get(F.col(kind), i - 1), -around, around).alias("before"), F.substring(F.get(F.col(kind), i + 1), 1, around).alias("after")),
+                F.struct(start.alias("start"), F.lit(order).alias("order"), (start + F.length(value)).alias("end"), F.lit(kind).alias("kind"), value.alias("value"), F.substring(F.get(F.col(name), i - 1), -around, around).alias("before"), F.substring(F.get(F.col(name), i + 1), 1, around).alias("after")),
             )
 
-        return F.when(F.size(kind) > 1, F.array_compact(F.transform(kind, span))).otherwise(none)
+        return F.when(F.size(name) > 1, F.array_compact(F.transform(name, span))).otherwise(none)
 
-    keep = ["doc_id", "k", *KINDS]
-    lengths = rows.select(*keep, *(F.when(F.size(k) > 1, F.transform(k, F.length)).alias(f"l_{k}") for k in KINDS))
+    keep = ["doc_id", "k", *patterns]
+    lengths = rows.select(*keep, *(F.when(F.size(k) > 1, F.transform(k, F.length)).alias(f"l_{k}") for k in patterns))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
 
     def block_sums(name: str) -> Column:
@@ -101,10 +114,10 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def before_blocks(name: str) -> Column:
         return F.transform(name, lambda _, i: total(F.slice(name, F.lit(1), i)))
 
-    sums = lengths.select(*keep, *(f"l_{k}" for k in KINDS), *(F.when(F.size(f"l_{k}") > 1, block_sums(f"l_{k}")).alias(f"s_{k}") for k in KINDS))
-    blocks = sums.select(*keep, *(f"l_{k}" for k in KINDS), *(F.when(F.size(f"s_{k}") > 0, before_blocks(f"s_{k}")).alias(f"b_{k}") for k in KINDS))
-    placed = blocks.select(*keep, *(F.when(F.size(f"l_{k}") > 1, _running(F.col(f"l_{k}"), F.col(f"b_{k}"))).alias(f"at_{k}") for k in KINDS))
-    return placed.select("doc_id", F.col("k.a").alias("ka"), F.col("k.b").alias("kb"), F.array_sort(F.concat(*(spans(k, i) for i, k in enumerate(KINDS)))).alias("base"))
+    sums = lengths.select(*keep, *(f"l_{k}" for k in patterns), *(F.when(F.size(f"l_{k}") > 1, block_sums(f"l_{k}")).alias(f"s_{k}") for k in patterns))
+    blocks = sums.select(*keep, *(f"l_{k}" for k in patterns), *(F.when(F.size(f"s_{k}") > 0, before_blocks(f"s_{k}")).alias(f"b_{k}") for k in patterns))
+    placed = blocks.select(*keep, *(F.when(F.size(f"l_{k}") > 1, _running(F.col(f"l_{k}"), F.col(f"b_{k}"))).alias(f"at_{k}") for k in patterns))
+    return placed.select("doc_id", F.col("k.a").alias("ka"), F.col("k.b").alias("kb"), F.array_sort(F.concat(*(spans(k) for k in KINDS))).alias("base"), F.array_sort(F.concat(*(spans(f"strict_{k}") for k in STRICT))).alias("strict"))
 
 
 def _terms(text: Column) -> Column:
@@ -148,13 +161,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around
     """(doc_id, ka, kb, base, spans) for each row: spans (start, order, end, kind) are base and term spans, sorted; terms never overlap base spans."""
     base = stored(base_spans(docs, id_col, text_col, around), "base")
     terms = disclosing_terms(base, docs, text_col, around, disclosure, support)
-    plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind")))
+    plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind")))
+    apart = lambda c, kept: F.filter(c, lambda t: ~F.exists(kept, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    known = base.select(*_KEY, "base", F.concat(plain("base"), plain(apart("strict", "base"))).alias("known"))
     if terms is None:
-        return base.select(*_KEY, "base", plain.alias("spans"))
+        return known.select(*_KEY, "base", F.array_sort("known").alias("spans"))
     other = terms.select(*(F.col(c).alias("_" + c) for c in _KEY), "terms")
-    both = base.join(other, (F.col("ka") == F.col("_ka")) & (F.col("kb") == F.col("_kb")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
-    free = F.filter("terms", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return both.select(*_KEY, "base", F.array_sort(F.concat(plain, F.coalesce(free, F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")))).alias("spans"))
+    both = known.join(other, (F.col("ka") == F.col("_ka")) & (F.col("kb") == F.col("_kb")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
+    free = F.coalesce(apart("terms", "known"), F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>"))
+    return both.select(*_KEY, "base", F.array_sort(F.concat("known", free)).alias("spans"))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -429,6 +429,19 @@ def test_pii_sanitises_what_discloses(spark):
     assert "zyxwolf" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == dict(docs)[100]
 
 
+def test_pii_adds_numbers_that_run_on(spark):
+    from quern.llm.pii import find, sanitised
+
+    texts = ["call +1 (826) 555-4081 190.137.223.204 now", "pay 4111111111111111 12 or 4111 1111 1111 1111 99", "+1 (743) 555-3824", "code 1234 5678 9012 3456 no card"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in find(df).collect()}
+    got = {i: [(s.kind, texts[i][s.start : s.end]) for s in r.spans] for i, r in rows.items()}
+    assert got[0] == [("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204")] and [s.kind for s in rows[0].base] == ["ip"]
+    assert got[1] == [("card", "4111111111111111"), ("card", "4111 1111 1111 1111")]
+    assert got[2] == [("phone", "+1 (743) 555-3824")] and got[3] == []
+    assert {r.doc_id: r.text for r in sanitised(df).collect()}[0] == "call [PHONE] [IP] now"
+
+
 def test_pipeline(spark, folders):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from quern.llm.common import table
