@@ -1,6 +1,7 @@
 """Quality classifier by nearest-neighbour voting in a latent-semantic space.
 
-Terms are byte trigrams hashed to `terms` buckets, over whole texts. The fit takes a sample of at
+Terms are byte trigrams hashed to `terms` buckets, over whole texts; beside them stand the shares of
+words that repeat the word one, two or three places before. The fit takes a sample of at
 most `max_labelled` labelled rows (chosen by a hash of the id, the same at every input size), weighs
 their logarithmic counts by inverse document frequency and keeps `rank` singular directions. The
 labelled vectors are broadcast: max_labelled * rank floats, whatever the corpus. Every document's
@@ -24,23 +25,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.packed import batches_of, texts
+from quern.llm.text import word_hashes
 
 TERMS, RANK, NEIGHBOURS, MAX_LABELLED, POWER = 4096, 48, 25, 4096, 8
 _PIECE, _BLOCK = 1 << 20, 256
+#: Distances at which words are compared for repetition.
+LAGS = (1, 2, 3)
 
 
-def counts(text: bytes, terms: int = TERMS) -> np.ndarray:
-    """How often each hashed byte trigram occurs in the whole text."""
-    data, total = np.frombuffer(text, np.uint8), np.zeros(terms, np.float32)
-    shift = np.uint32(32 - (terms - 1).bit_length())
+def counts(text: bytes) -> np.ndarray:
+    """How often each hashed byte trigram occurs in the whole text, then the shares of repeated words."""
+    data, total = np.frombuffer(text, np.uint8), np.zeros(TERMS + len(LAGS), np.float32)
+    shift = np.uint32(32 - (TERMS - 1).bit_length())
     for at in range(0, max(1, len(data) - 2), _PIECE):
         x = data[at : at + _PIECE + 2].astype(np.uint32)
         if len(x) >= 3:
             code = ((x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]) * np.uint32(2654435761) >> shift
-            total += np.bincount(code, minlength=terms)
+            total[:TERMS] += np.bincount(code, minlength=TERMS)
+    words, _, _ = word_hashes(text, fold=True)
+    for i, lag in enumerate(LAGS):
+        if len(words) > lag:
+            total[TERMS + i] = np.mean(words[lag:] == words[:-lag])
     return total
 
 
+def _features(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """rows, in place: weighted logarithmic counts of unit length; the shares stay."""
+    terms = rows[:, :TERMS]
+    np.log1p(terms, out=terms)
+    terms *= weights
+    terms /= np.maximum(np.linalg.norm(terms, axis=1, keepdims=True), 1e-12)
+    return rows
+
+
 @dataclass(frozen=True)
 class Voters:
     """A fitted classifier; about (terms + max_labelled) * rank floats."""
@@ -53,8 +70,7 @@ class Voters:
     neighbours: int
 
     def project(self, rows: np.ndarray) -> np.ndarray:
-        out = _unit(np.log1p(rows) * self.weights) @ self.directions
-        return _unit(out)
+        return _unit(_features(rows.copy(), self.weights) @ self.directions)
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         empty = ~rows.any(axis=1)
@@ -75,11 +91,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def fit_arrays(rows: np.ndarray, labels: np.ndarray, rank: int = RANK, neighbours: int = NEIGHBOURS) -> Voters:
     """rows (float32) are used up."""
     if not len(rows):
-        return Voters(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5, neighbours)
-    weights = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))) + 1).astype(np.float32)
-    x = np.log1p(rows, out=rows)  # in place: the driver holds one copy
-    x *= weights
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return Voters(np.ones(TERMS, np.float32), np.zeros((TERMS + len(LAGS), 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5, neighbours)
+    weights = (np.log((1 + len(rows)) / (1 + (rows[:, :TERMS] > 0).sum(0))) + 1).astype(np.float32)
+    x = _features(rows, weights)  # in place: the driver holds one copy
     rank = max(1, min(rank, *x.shape))
     draw = np.random.default_rng(7).standard_normal((x.shape[1], min(rank + 16, *x.shape))).astype(np.float32)
     base = np.linalg.qr(x @ draw)[0]
@@ -113,12 +127,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     )
     known = {r["__id"]: r["__label"] for r in chosen.collect()}  # max_labelled rows at most
     if not known:
-        return fit_arrays(np.zeros((0, TERMS), np.float32), np.zeros(0))
+        return fit_arrays(np.zeros((0, TERMS + len(LAGS)), np.float32), np.zeros(0))
     wanted = docs.sparkSession.createDataFrame([(i,) for i in known], "__id long")
     learnt = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(wanted), "__id")
     rows = learnt.groupBy("__id").agg(F.min("__text").alias("__text")).mapInArrow(_sparse, "doc_id long, term binary, n binary").collect()
     rows.sort(key=lambda r: r.doc_id)
-    x, y = np.zeros((len(rows), TERMS), np.float32), np.zeros(len(rows))
+    x, y = np.zeros((len(rows), TERMS + len(LAGS)), np.float32), np.zeros(len(rows))
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r.term, "<u2")] = np.frombuffer(r.n, "<f4")
         y[i] = known[r.doc_id]
