@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.errors import Refusal, Refused, refuse
-from quern.model import ORDERABLE, RESERVED, SCOPE, Access, Column, Constant, Kind, Unit
+from quern.model import ORDERABLE, RESERVED, SCOPE, Access, Constant, Kind, Unit
 from quern.plans.compile import literal, order_key, to_column
 from quern.predicates import TRUE, And, ElementOf, In, Not, Or, Predicate, StartsWith, canonical, validate
 

@@ -16,7 +16,7 @@ from quern.operators.aggregate import AggregateQuery, Count, FirstBy, FixedBucke
 from quern.plans import query as plans
 from quern.plans.compile import Order
 from quern.plans.query import Latest, Page, Query
-from quern.predicates import TRUE, And, Compare, Not, Or, StartsWith, Substring, among, between, element_of, eq
+from quern.predicates import And, Compare, Not, Or, StartsWith, Substring, among, between, element_of, eq
 from quern.session import work_folder
 from quern.sources.files import conform
 from quern.sources.store import Store, UnitOfWork, Write
@@ -506,4 +506,3 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 QUERIES = {k.rstrip("_"): v for k, v in QUERIES.items()}
 ORACLE = {k.rstrip("_"): v for k, v in ORACLE.items()}
-__all__ = ["QUERIES", "ORACLE", "TRUE"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import PySparkException
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,5 +77,3 @@ def read(spark: SparkSession, unit: Unit, path: str, format: str = "parquet", **
         reader = reader.schema(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in unit.schema() if not f.name.startswith("__quern_")))
     return conform(reader.load() if format == "jdbc" else reader.load(path), unit)
 
-
-__all__ = ["Files", "conform", "read", "PySparkException"]

@@ -8,7 +8,6 @@ operation ledgers live in the manifest, so they commit with the rows.
 
 from __future__ import annotations
 
-import datetime as dt
 import hashlib
 import json
 import time
@@ -606,5 +605,3 @@ class UnitOfWork:
         self.staged = []
         return out
 
-
-UTC = dt.timezone.utc
