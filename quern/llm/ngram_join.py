@@ -286,12 +286,10 @@ def _lists(num: int, den: int):
         add(head[behind], behind)
         if pairs:
             every = np.unique(np.concatenate(pairs), axis=0)
-            none = np.zeros(len(every), bool)
             for a in range(0, len(every), 50_000):
                 x = every[a : a + 50_000]
                 empty = pa.nulls(len(x), pa.int64())
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[:, c]) for c in range(4)), empty, pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.int32())], schema=schema)
-            del none
         at = np.flatnonzero(long)
         for a in range(0, len(at), 50_000):
             x = at[a : a + 50_000]

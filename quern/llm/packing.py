@@ -17,7 +17,6 @@ unknown and conflicts with nothing; repeated rows are packed each on their own;
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame

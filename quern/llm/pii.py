@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import NOT_WORD, plain_words, stored, text_key
+from quern.llm.common import NOT_WORD, stored, text_key
 
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Kinds in their order. Each pattern finds exactly the places of the stated one, in one pass.
