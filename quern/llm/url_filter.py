@@ -1,17 +1,29 @@
 """URL filter: rules first, then a path-template tree learnt from what the rules label.
 
-Every host has a tree of path segments. Segments with digits are variable and become wildcards at
-once; of the others a segment stays only if enough of its parent's pages go through it, else it is
-variable too. Branches of one parent with enough labelled pages whose block rates do not differ from
-the rate of all of these (a z-test) are merged. A template is rejected when the smoothed share of
-blocked pages among its labelled ones reaches `purity`, and it has `support` labelled pages.
+Evidence is counted in distinct pages (host and path): rows that repeat a page add nothing, so a table
+repeated any number of times has the same verdicts.
 
-Pages are first counted by (host, template of the first kind), with map-side combination: the tree
-works on these counts, never on pages. Verdicts return to pages by a join whose hot keys are salted.
+Every host has a tree of path segments. Segments with digits are variable and become wildcards at
+once. Of the others a segment stays if at least `share` of its parent's pages go through it. Rarer
+ones are one wildcard where they hold `varies` of the parent's pages together; else those without any
+labelled page are kept apart from the labelled ones. No decision depends on an absolute count.
+Labelled branches of one parent whose block rates do not differ from the rate of all of these (a
+z-test) are merged. The tree goes as deep as templates branch; where one template is left the rest of
+its path is kept.
+
+Labelled evidence reaches other hosts through the form, the path of a template with its wildcards: a
+form that names a segment is evidence wherever it occurs if the block rates of the hosts that label it
+do not differ (dispersion over hosts, at `z`), and `support` of its labelled pages lie on hosts with
+both verdicts; where a host knows one verdict only, a label tells of the host and not of the form. The
+block rate of such a form, else that of all labelled pages, is what a template's own share of blocked
+pages is smoothed with. A template is rejected when that purity reaches `purity`, on `support` labelled
+pages of its own and its form's.
+
+Pages are first counted by (host, template), with map-side combination: the tree works on these
+counts, never on pages. Verdicts return to pages by a join whose hot keys are salted.
 
 Edges: a null url or one without `://` has empty host and path; no rule fits it, and its template is
-the root of the empty host. Each input row gives one row. Paths deeper than `depth` are judged by
-their first segments and one mark for the rest. Only DataFrame functions run.
+the root of the empty host. Each input row gives one row. Only DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -23,7 +35,7 @@ from quern.llm.common import ascii_lower, stored
 
 #: Verdict, host and path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DEPTH, SHARE, LEAST, Z, SMOOTH, PURITY, SUPPORT, SALTS = 4, 0.02, 20, 1.96, 5.0, 0.8, 10, 16
+SHARE, VARIES, Z, SMOOTH, PURITY, SUPPORT, SALTS = 0.02, 0.5, 1.96, 5.0, 0.8, 10, 16
 
 
 def host_of(url: Column) -> Column:
@@ -43,46 +55,68 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def template_of(path: Column, depth: int) -> Column:
-    """Segments of a path, variable ones as wildcards; what lies deeper than depth is one mark."""
-    segments = F.transform(F.array_remove(F.split(path, "/"), ""), lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1))).otherwise(s))
-    return F.when(F.size(segments) > depth, F.concat(F.slice(segments, 1, depth), F.array(F.lit("**")))).otherwise(segments)
+def template_of(path: Column) -> Column:
+    """Segments of a path, variable ones as wildcards."""
+    return F.transform(F.array_remove(F.split(path, "/"), ""), lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1))).otherwise(s))
 
 
-def templates(counts: DataFrame, depth: int = DEPTH, share: float = SHARE, least: int = LEAST, z: float = Z) -> DataFrame:
-    """Of (host, template, n, labelled, blocked) counts: (host, template, n, labelled, blocked, node), node being the merged template."""
-    now = counts.withColumn("node", F.array().cast("array<string>"))
-    for level in range(depth + 1):
+def templates(counts: DataFrame, share: float = SHARE, varies: float = VARIES, z: float = Z) -> DataFrame:
+    """Of (host, template, n, labelled, blocked) counts: (host, template, n, labelled, blocked, node, form), node being the merged template and form the one before merging."""
+    none = F.array().cast("array<string>")
+    now, done, level = counts.select("host", "template", "n", "labelled", "blocked", none.alias("node"), none.alias("form")), None, 0
+    while True:
         now = now.withColumn("seg", F.coalesce(F.get("template", F.lit(level)), F.lit("")))
-        child = now.groupBy("host", "node", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
-        parent = child.groupBy("host", "node").agg(F.sum("n").alias("all_n"))
-        child = child.join(parent, ["host", "node"]).withColumn("stays", (F.col("seg") == "") | F.startswith("seg", F.lit("*")) | ((F.col("n") >= least) & (F.col("n") >= share * F.col("all_n"))))
-        tested = child.where(F.col("stays") & (F.col("seg") != "") & (F.col("labelled") >= least))
-        pool = tested.groupBy("host", "node").agg((F.sum("blocked") / F.sum("labelled")).alias("rate"), F.count(F.lit(1)).alias("branches"))
-        child = child.join(pool, ["host", "node"], "left")
+        child = now.groupBy("host", "node", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")), F.count(F.lit(1)).alias("rows"))
+        parent = child.groupBy("host", "node").agg(F.sum("n").alias("all_n"), F.sum("rows").alias("all_rows"))
+        child = child.join(parent, ["host", "node"]).withColumn("stays", (F.col("seg") == "") | F.startswith("seg", F.lit("*")) | (F.col("n") >= share * F.col("all_n")))
+        tested = F.col("stays") & (F.col("seg") != "") & (F.col("labelled") > 0)
+        pool = child.groupBy("host", "node").agg(
+            (F.sum(F.when(tested, F.col("blocked"))) / F.sum(F.when(tested, F.col("labelled")))).alias("rate"), F.count_if(tested).alias("branches"), (F.sum(F.when(~F.col("stays"), F.col("n")).otherwise(0)) >= varies * F.first("all_n")).alias("variable")
+        )
+        child = child.join(pool, ["host", "node"])
         error = F.sqrt(F.greatest(F.col("rate") * (1 - F.col("rate")), F.lit(1e-4)) / F.greatest("labelled", F.lit(1)))
-        alike = (F.col("branches") > 1) & (F.col("labelled") >= least) & (F.abs(F.col("blocked") / F.greatest("labelled", F.lit(1)) - F.col("rate")) <= z * error)
-        named = child.select("host", "node", "seg", F.when(~F.col("stays"), F.lit("*")).when((F.col("seg") != "") & F.coalesce(alike, F.lit(False)), F.lit("{merged}")).otherwise(F.col("seg")).alias("name"))
+        alike = tested & (F.col("branches") > 1) & (F.abs(F.col("blocked") / F.greatest("labelled", F.lit(1)) - F.col("rate")) <= z * error)
+        plain = F.when(F.col("stays"), F.col("seg")).when(F.col("variable") | (F.col("labelled") > 0), F.lit("*")).otherwise(F.lit("{rare}"))
+        named = child.select("host", "node", "seg", "all_rows", plain.alias("plain"), F.when(F.coalesce(alike, F.lit(False)), F.lit("{merged}")).otherwise(plain).alias("name"))
+        # a path that ends here, or the only one that is left, is done
+        ends = (F.col("seg") == "") | (F.col("all_rows") == 1)
+        rest = F.slice("template", level + 1, F.greatest(F.size("template") - level, F.lit(0)))
+        longer = lambda path, name: F.concat(path, F.when(ends, rest).otherwise(F.array(name))).alias(path)
         now = now.join(named, ["host", "node", "seg"])
-        now = stored(now.select("host", "template", "n", "labelled", "blocked", F.when(F.col("seg") == "", F.col("node")).otherwise(F.concat("node", F.array("name"))).alias("node")), "tree")
-    return now
+        now = stored(now.select("host", "template", "n", "labelled", "blocked", longer("node", "name"), longer("form", "plain"), ends.alias("ends")), "tree")
+        ended, now, level = now.where("ends").drop("ends"), now.where("not ends").drop("ends"), level + 1
+        done = ended if done is None else done.unionAll(ended)
+        if now.isEmpty():
+            return done
+
+
+def forms(tree: DataFrame, z: float = Z, support: int = SUPPORT) -> DataFrame:
+    """(form, told, form_rate): the labelled pages and block rate of forms that are evidence on every host."""
+    hosts = tree.where("labelled > 0").groupBy("host").agg((F.sum("blocked").between(1, F.sum("labelled") - 1)).alias("both"))
+    named = F.exists("form", lambda s: ~F.startswith(s, F.lit("*")) & ~s.isin("{rare}"))
+    of = tree.where((F.col("labelled") > 0) & named).groupBy("form", "host").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).join(hosts, "host")
+    of = of.groupBy("form").agg(F.sum("l").alias("told"), (F.sum("b") / F.sum("l")).alias("form_rate"), F.sum(F.when(F.col("both"), F.col("l")).otherwise(0)).alias("apart"), F.sum(F.col("b") * F.col("b") / F.col("l")).alias("squares"), (F.count(F.lit(1)) - 1).alias("free"))
+    dispersion = (F.col("squares") - F.col("form_rate") * F.col("form_rate") * F.col("told")) / F.greatest(F.col("form_rate") * (1 - F.col("form_rate")), F.lit(1e-4))
+    return of.where((dispersion <= F.col("free") + z * F.sqrt(2 * F.col("free")) + 1e-6) & (F.col("apart") >= support)).select("form", "told", "form_rate")
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, depth: int = DEPTH, smooth: float = SMOOTH, purity: float = PURITY, support: int = SUPPORT) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, smooth: float = SMOOTH, purity: float = PURITY, support: int = SUPPORT) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, template_purity)."""
     url = F.col(url_col)
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    rows = rows.select("*", name.alias("rule"), verdict.alias("said"), template_of(F.col("path"), depth).alias("template"))
-    counts = rows.groupBy("host", "template").agg(F.count(F.lit(1)).alias("n"), F.count("said").alias("labelled"), F.sum(F.when(F.col("said") == "block", 1).otherwise(0)).alias("blocked"))
-    tree = templates(stored(counts, "url-counts"), depth)
+    said = lambda df: df.select("*", name.alias("rule"), verdict.alias("said"), template_of(F.col("path")).alias("template"))
+    counts = said(rows.select("host", "path").distinct()).groupBy("host", "template").agg(F.count(F.lit(1)).alias("n"), F.count("said").alias("labelled"), F.sum(F.when(F.col("said") == "block", 1).otherwise(0)).alias("blocked"))
+    tree = templates(stored(counts, "url-counts"))
     totals = tree.agg(F.sum("blocked"), F.sum("labelled")).first()
     prior = (totals[0] or 0) / totals[1] if totals[1] else 0.5
-    pure = tree.groupBy("host", "node").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    pure = pure.select("host", "node", ((F.col("blocked") + smooth * prior) / (F.col("labelled") + smooth)).alias("template_purity"), (F.col("labelled") >= support).alias("known"))
-    judged = tree.select("host", "template", "node").join(pure, ["host", "node"]).select("host", "template", F.concat(F.lit("/"), F.array_join("node", "/")).alias("shown"), "template_purity", (F.col("known") & (F.col("template_purity") >= purity)).alias("rejected"))
+    pure = tree.groupBy("host", "node").agg(F.sum("labelled").alias("own"), F.sum("blocked").alias("own_blocked"))
+    judged = tree.select("host", "template", "node", "form").join(pure, ["host", "node"]).join(forms(tree, support=support), "form", "left")
+    judged = judged.withColumn("template_purity", (F.col("own_blocked") + smooth * F.coalesce("form_rate", F.lit(float(prior)))) / (F.col("own") + smooth))
+    known = F.col("own") + F.coalesce("told", F.lit(0)) >= support
+    judged = judged.select("host", "template", F.concat(F.lit("/"), F.array_join("node", "/")).alias("shown"), "template_purity", (known & (F.col("template_purity") >= purity)).alias("rejected"))
     judged = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    salted = said(rows).withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
     return salted.join(judged, ["host", "template", "salt"]).select(
         "page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), F.col("shown").alias("template"), "template_purity"
     )
