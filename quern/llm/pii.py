@@ -145,7 +145,9 @@ def disclosing_terms(base: DataFrame, docs: DataFrame, text_col: str = "text", a
     if pairs.isEmpty():
         return None
     entity = places.select("e", context.alias("c")).distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), NOT_WORD)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n_t"))
+    # copies count once, as they do in contexts
+    texts = docs.groupBy(text_key(F.col(text_col)).alias("k")).agg(F.first(text_col).alias("t"))
+    words = texts.select(F.explode(F.split(F.lower(F.coalesce("t", F.lit(""))), NOT_WORD)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n_t"))
     words = stored(words, "word-counts")
     total = words.agg(F.sum("n_t")).first()[0]
     width = 2 * around / 6.0  # words in a context, about

@@ -39,3 +39,25 @@ def test_url_levels_are_kept(spark):
     deep = "http://h.example.com/" + "/".join("abcdefgh")
     got = url_verdicts(spark, [f"{deep}/{x}/{i}" for x in ("spam", "ham") for i in range(3)], 1)
     assert {t for _, t in got.values()} == {"/a/b/c/d/e/f/g/h/spam/*", "/a/b/c/d/e/f/g/h/ham/*"}
+
+
+def filler(n):
+    import random
+
+    r = random.Random(5)
+    return [" ".join(r.choice(["alpha", "bravo", "delta", "gamma", "sigma", "omega", "theta", "kappa"]) for _ in range(25)) + f" {i}" for i in range(n)]
+
+
+def pii_terms(spark, texts):
+    from quern.llm.pii import find
+
+    rows = find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    return {r.doc_id: {texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "term"} for r in rows}
+
+
+def test_pii_copies_count_once(spark):
+    plain = filler(1003)
+    telling = [f"{t} zyxwolf is at jane.roe@corp.example {t}" for t in plain[:3]]
+    got = pii_terms(spark, plain[3:] + telling + telling[:1] * 1000)
+    assert all(got[i] == {"zyxwolf"} for i in range(1000, 2003)) and not any(got[i] for i in range(1000))
