@@ -4,12 +4,16 @@ Base spans are leftmost, non-overlapping matches of each kind. The patterns here
 match of the stated pattern can start first (after a character outside its class, or where the last
 match ended), so that no text, however long its runs, is scanned twice.
 
-Every distinct value found is a protected entity e. Its contexts are the `around` code points on
-either side of each place. Over the whole corpus, distinct contexts count how often a term t stands
-near e: P(t | e). Corpus word counts give how often a context holds t by chance: P(t). The term's
-information about e, log2(P(t | e) / P(t)), is set against the information of e itself, log2 of how
-rare its contexts are. Terms at or above `disclosure` of it, seen in `support` distinct contexts, are
-disclosing: their places near e are spans of kind "term". Copies share contexts and count once.
+What a base span tells is an entity at three levels: its value, the value's class (domain of an email,
+half of an address, leading digits of a number) and its kind. All counts are of distinct texts, so
+copies count once: n_e of D hold e, n_t hold the term t outside emails, n_et both, anywhere in the
+text. P(e) = n_e / D is also what P(e | t) = (n_et + smooth P(e)) / (n_t + smooth) is drawn to where
+little is known. A term whose information about e, log2(P(e | t) / P(e)), is at least `disclosure` of
+that of e itself, log2(1 / P(e)), is disclosing if it has `support` distinct contexts of e (60 code
+points on either side; near copies share them). Where a value has too few texts its class and kind
+are what is left. A word of an email's own name needs neither support nor smoothing: a name beside an
+address given once is found. Every place of a disclosing term in a text with its entity is a span of
+kind "term".
 
 Numbers that a base pattern loses because it runs on into the next one are added by stricter patterns.
 
@@ -24,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import NOT_WORD, stored, text_key
+from quern.llm.common import stored, text_key
 
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Kinds in their order. Each pattern finds exactly the places of the stated one, in one pass.
@@ -44,10 +48,12 @@ STRICT = {
     "phone": r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])",
     "card": r"(?<![0-9])(?:[0-9]{14,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])",
 }
-AROUND, DISCLOSURE, SUPPORT = 60, 0.8, 3
+AROUND, DISCLOSURE, SUPPORT, SMOOTH, SALTS = 60, 0.8, 3, 5.0, 16
 _MARK, _OTHER = "\u0001", "\u0002"
 _KEY = ["doc_id", "ka", "kb"]
 _BLOCK = 64
+#: Terms are words of letters, at least three.
+_NO_TERM, _TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x40\x5B-\x60\x7B-\x7F]{3,}"
 
 
 def _luhn(value: Column) -> Column:
@@ -83,8 +89,7 @@ def _running(lengths: Column, blocks: Column) -> Column:
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = AROUND) -> DataFrame:
     """(doc_id, ka, kb, base, strict): both hold (start, order, end, kind, value, before, after), sorted."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("k"), F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, _OTHER)).otherwise(text).alias("t"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("k"), _marked(F.col(text_col)).alias("t"))
     needs = {"email": "@", "phone": "+"}  # cheap tests before the pattern
     patterns = KINDS | {f"strict_{k}": p for k, p in STRICT.items()}
     test = lambda k: F.contains("t", F.lit(needs[k])) if k in needs else F.col("t").rlike("[0-9]")
@@ -121,48 +126,74 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _terms(text: Column) -> Column:
-    """Words of letters, at least three, with their offsets: (offset, term)."""
-    pieces = F.split(F.regexp_replace(text, F.lit(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]{3,}"), F.lit(f"{_MARK}$0{_MARK}")), _MARK)
-    step = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.lit(False).alias("term"), F.array().cast("array<struct<offset:int,term:string>>").alias("found")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), (~acc["term"]).alias("term"), F.when(acc["term"], F.concat(acc["found"], F.array(F.struct(acc["at"].alias("offset"), p.alias("term"))))).otherwise(acc["found"]).alias("found")),
-    )
-    return step["found"]
-
-
-def disclosing_terms(base: DataFrame, docs: DataFrame, text_col: str = "text", around: int = AROUND, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame | None:
-    """(doc_id, ka, kb, terms) with spans (start, order, end, kind) of disclosing terms; None if no term has the support. base is stored."""
-    places = base.select(*_KEY, F.explode("base").alias("s")).select(*_KEY, F.xxhash64("s.kind", "s.value").alias("e"), "s.start", "s.end", "s.before", "s.after")
-    context = F.xxhash64("before", "after")
-    near = places.select(*_KEY, "e", context.alias("c"), F.explode(F.concat(
-        F.transform(_terms(F.col("before")), lambda t: F.struct((F.col("start") - F.length("before") + t["offset"]).alias("start"), t["term"].alias("term"))),
-        F.transform(_terms(F.col("after")), lambda t: F.struct((F.col("end") + t["offset"]).alias("start"), t["term"].alias("term"))),
-    )).alias("t")).select(*_KEY, "e", "c", "t.start", "t.term", F.lower("t.term").alias("w"))
-    near = stored(near, "near")
-    pairs = near.groupBy("e", "w", "c").agg(F.lit(1)).groupBy("e", "w").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
-    pairs = stored(pairs, "pairs")
-    if pairs.isEmpty():
+    return F.filter(F.array_distinct(F.split(F.lower(text), _NO_TERM)), lambda w: F.length(w) >= 3)
+
+
+def _marked(text: Column) -> Column:
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, _OTHER)).otherwise(text)
+
+
+def _levels(kind: Column, value: Column) -> Column:
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    of = F.when(kind == "email", F.lower(F.substring_index(value, "@", -1))).when(kind == "ip", F.substring_index(value, ".", 2)).when(kind == "phone", F.substring(digits, 1, 4)).otherwise(F.substring(digits, 1, 6))
+    return F.array(F.xxhash64(F.lit("value"), kind, value), F.xxhash64(F.lit("class"), kind, of), F.xxhash64(F.lit("kind"), kind))
+
+
+def _places_of(rows: DataFrame) -> DataFrame:
+    """Of (doc_id, ka, kb, t, told) the places in t of the words told: (doc_id, ka, kb, terms)."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    rows = rows.select(*_KEY, "told", _pieces(F.col("t"), _TERM).alias("p"))
+    rows = rows.select("*", F.transform("p", F.length).alias("l"))
+    rows = rows.select("*", F.transform(F.sequence(F.lit(0), F.floor(F.size("l") / _BLOCK).cast("int")), lambda b: total(F.slice("l", b * _BLOCK + 1, _BLOCK))).alias("s"))
+    rows = rows.select("*", F.transform("s", lambda _, i: total(F.slice("s", F.lit(1), i))).alias("b"))
+    rows = rows.select(*_KEY, "told", "p", _running(F.col("l"), F.col("b")).alias("at"))
+    span = lambda p, i: F.when((i % 2 == 1) & F.array_contains("told", F.lower(p)), F.struct(F.get("at", i).alias("start"), F.lit(len(KINDS)).alias("order"), (F.get("at", i) + F.length(p)).alias("end"), F.lit("term").alias("kind")))
+    return rows.select(*_KEY, F.array_compact(F.transform("p", span)).alias("terms"))
+
+
+def disclosing_terms(base: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, smooth: float = SMOOTH) -> DataFrame | None:
+    """(doc_id, ka, kb, terms) with spans (start, order, end, kind) of disclosing terms; None if there are none. base is stored."""
+    text = ["ka", "kb"]
+    places = base.select(*text, F.explode("base").alias("s")).select(*text, "s.kind", "s.value", F.xxhash64("s.before", "s.after").alias("c"))
+    held = stored(places.select(*text, "c", F.explode(_levels(F.col("kind"), F.col("value"))).alias("e")).groupBy(*text, "e").agg(F.min("c").alias("c")), "entities")
+    if held.isEmpty():
+        return None
+    key = text_key(F.col(text_col))
+    texts = docs.groupBy(key["a"].alias("ka"), key["b"].alias("kb")).agg(F.first(text_col).alias("t"))
+    texts = texts.join(held.select(*text, F.lit(True).alias("has")).distinct(), text, "left")
+    # words of texts with entities by text, those of the others as counts
+    outside = F.when(F.contains("t", F.lit("@")), F.regexp_replace("t", KINDS["email"], " ")).otherwise(F.col("t"))
+    words = texts.select(*(F.when(F.col("has"), F.col(k)).alias(k) for k in text), F.explode(_terms(F.coalesce(outside, F.lit("")))).alias("w"))
+    words = stored(words.groupBy("w", *text).agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    total = float(base.select(*text).distinct().count())
+    chance = F.col("n_e") / total
+    least = chance * F.pow(F.lit(2.0), disclosure * F.greatest(F.lit(1.0), -F.log2(chance)))  # of P(e | t); what most texts hold has one bit
+    counts = held.groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
+    entities = held.join(counts, "e")
+    near = words.where("ka is not null").select(*text, "w")
+    near = stored(near.join(near.select("w").distinct().join(words, "w").groupBy("w").agg(F.sum("n").alias("n_t")), "w"), "near-words")
+    given = chance * smooth
+    # a term of more texts cannot reach the share, were it with e in all of e's
+    pairs = near.where(F.col("n_t") >= support).join(entities.where(F.col("n_e") >= support), text).where((F.least("n_e", "n_t") + given) / (F.col("n_t") + smooth) >= least)
+    pairs = pairs.groupBy("e", "w", "n_e", "n_t", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("e", "w", "n_e", "n_t").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("contexts"))
+    told = pairs.where((F.col("contexts") >= support) & ((F.col("n_et") + given) / (F.col("n_t") + smooth) >= least)).select("e", "w")
+    names = places.where("kind = 'email'").select(*text, _levels(F.col("kind"), F.col("value"))[0].alias("e"), F.explode(_terms(F.substring_index("value", "@", 1))).alias("w")).distinct()
+    names = names.join(near, [*text, "w"]).groupBy("e", "w", "n_t").agg(F.count(F.lit(1)).alias("n_et")).join(counts, "e").where(F.col("n_et") / F.col("n_t") >= least).select("e", "w")
+    told = stored(told.union(names).distinct(), "told")
+    if told.isEmpty():
         return None
-    entity = places.select("e", context.alias("c")).distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    # copies count once, as they do in contexts
-    texts = docs.groupBy(text_key(F.col(text_col)).alias("k")).agg(F.first(text_col).alias("t"))
-    words = texts.select(F.explode(F.split(F.lower(F.coalesce("t", F.lit(""))), NOT_WORD)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n_t"))
-    words = stored(words, "word-counts")
-    total = words.agg(F.sum("n_t")).first()[0]
-    width = 2 * around / 6.0  # words in a context, about
-    scored = pairs.join(entity, "e").join(words, "w")
-    informs = F.log2((F.col("n_et") / F.col("n_e")) / F.least(F.lit(1.0), F.col("n_t") * width / total))
-    whole = F.log2(F.greatest(F.lit(2.0), total / width / F.col("n_e")))
-    told = scored.where(informs / whole >= disclosure).select("e", "w")
-    found = near.join(told, ["e", "w"]).select(*_KEY, F.struct(F.col("start").cast("int").alias("start"), F.lit(len(KINDS)).alias("order"), (F.col("start") + F.length("term")).cast("int").alias("end"), F.lit("term").alias("kind")).alias("s"))
-    return found.groupBy(*_KEY).agg(F.collect_set("s").alias("terms"))
+    # from the words, which are rare, to the entities of their texts: a kind has many texts and many words
+    marks = near.select(*text, "w").join(told, "w").join(held.select(*text, "e"), [*text, "e"]).groupBy(*text).agg(F.collect_set("w").alias("told"))
+    marks = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = docs.select(F.col(id_col).alias("doc_id"), key["a"].alias("ka"), key["b"].alias("kb"), _marked(F.col(text_col)).alias("t")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return _places_of(rows.join(marks, [*text, "salt"])).dropDuplicates(_KEY)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = AROUND, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(doc_id, ka, kb, base, spans) for each row: spans (start, order, end, kind) are base and term spans, sorted; terms never overlap base spans."""
     base = stored(base_spans(docs, id_col, text_col, around), "base")
-    terms = disclosing_terms(base, docs, text_col, around, disclosure, support)
+    terms = disclosing_terms(base, docs, id_col, text_col, disclosure, support)
     plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind")))
     apart = lambda c, kept: F.filter(c, lambda t: ~F.exists(kept, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     known = base.select(*_KEY, "base", F.concat(plain("base"), plain(apart("strict", "base"))).alias("known"))

@@ -61,3 +61,17 @@ def test_pii_copies_count_once(spark):
     telling = [f"{t} zyxwolf is at jane.roe@corp.example {t}" for t in plain[:3]]
     got = pii_terms(spark, plain[3:] + telling + telling[:1] * 1000)
     assert all(got[i] == {"zyxwolf"} for i in range(1000, 2003)) and not any(got[i] for i in range(1000))
+
+
+def test_pii_name_beside_an_address_given_once(spark):
+    plain = filler(400)
+    text = f"{plain[0]} Zyxwolf Quarn wrote, see zyxwolf.quarn@corp.example {plain[1]} so said ZYXWOLF at last"
+    got = pii_terms(spark, [*plain[2:], text])
+    assert got.pop(398) == {"Zyxwolf", "Quarn", "ZYXWOLF"} and not any(got.values())
+
+
+def test_pii_terms_of_a_class_anywhere_in_the_text(spark):
+    plain = filler(900)
+    far = [f"zyxwolf {plain[i]} {plain[i + 1]} {plain[i + 2]} u{i}x@corp.example {plain[i + 3]} zyxwolf" for i in range(0, 48, 4)]
+    got = pii_terms(spark, [*plain[48:], *far])
+    assert all(got[852 + i] == {"zyxwolf"} for i in range(12)) and not any(got[i] for i in range(852))
