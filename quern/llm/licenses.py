@@ -1,6 +1,8 @@
 """License scan: an exact containment join of text blocks with license templates.
 
-A block is a line; its set holds its distinct words. A block matches a template when it holds at
+A block is a line, or a run of words across lines, as notices are wrapped: a run is as long as the
+template and a quarter more, and runs are tried at all places that hold a prefix word (see below) and
+begin with a word of the template. A block's set holds its distinct words. A block matches a template when it holds at
 least `threshold` of the template's distinct words. The corpus count of every template word gives one
 global order, rarest first. A template's prefix is its first |T| - ceil(threshold * |T|) + 1 words:
 a matching block holds one of them. Documents without any prefix word are done; the other ones' blocks
@@ -64,6 +66,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     order = word_order(docs, text_col, templates)
     rank = {w: i for i, w in enumerate(order)}
     ordered = [(label, sorted(set(t.split()), key=rank.__getitem__)) for label, t in templates]
+    runs = [len(t.split()) * 5 // 4 for _, t in templates]
     prefix = sorted({w for _, t in ordered for w in t[: len(t) - least(len(t), threshold) + 1]}, key=rank.__getitem__)
 
     def place(words: Column, w: Column, i: Column) -> Column:
@@ -88,19 +91,34 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
             found.append(F.when(holds, F.struct(number.cast("int").alias("block"), F.lit(label).alias("label"), (F.size(common) / len(t)).alias("containment"))))
         return F.array_compact(F.array(*found))
 
+    def across(words: Column, lines: Column) -> Column:
+        """Templates that a run of words matches, each at its best run; lines has the line of each word."""
+        found = []
+        for (label, t), run in zip(ordered, runs, strict=True):
+            need = least(len(t), threshold)
+            prefixes = t[: len(t) - need + 1]
+            at = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(prefixes), i)))
+            starts = F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(F.lit(0), p - run + 1), p))))
+            starts = F.filter(starts, lambda s: F.get(words, s).isin(t))
+            best = F.array_max(F.transform(starts, lambda s: F.struct(F.size(F.array_intersect(_strings(t), F.slice(words, s + 1, F.lit(run)))).alias("n"), s.alias("s"))))
+            found.append(F.transform(F.filter(F.array(best), lambda b: b["n"] >= need), lambda b: F.struct(F.get(lines, b["s"]).cast("int").alias("block"), F.lit(label).alias("label"), (b["n"] / len(t)).alias("containment"))))
+        return F.concat(*found)
+
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("__text"), plain_words(text).alias("words"))
     last_words = sorted({p.split()[-1] for p in base})
     none = F.array().cast("array<struct<start:int,label:string>>")
     no_match = F.array().cast("array<struct<block:int,label:string,containment:double>>")
     blocks = F.split(ascii_lower(F.col("__text")), "\n")
+    # a line break separates words, so those of the lines are those of the text
+    line_of = F.flatten(F.transform(blocks, lambda b, i: F.array_repeat(i, F.size(F.array_remove(F.split(b, NOT_WORD), "")))))
     rows = rows.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.when(F.arrays_overlap("words", _strings(last_words)), F.array_compact(F.transform("words", lambda w, i: place(F.col("words"), w, i)))).otherwise(none).alias("places"),
         F.when(
             F.arrays_overlap("words", _strings(prefix)),
-            F.flatten(F.transform(F.filter(F.transform(blocks, lambda b, i: F.struct(F.array_remove(F.split(b, NOT_WORD), "").alias("w"), i.alias("i"))), lambda x: F.arrays_overlap(x["w"], _strings(prefix))), lambda x: match(x["w"], x["i"]))),
+            F.concat(F.when(F.size(blocks) > 1, across(F.col("words"), line_of)).otherwise(no_match), F.flatten(F.transform(F.filter(F.transform(blocks, lambda b, i: F.struct(F.array_remove(F.split(b, NOT_WORD), "").alias("w"), i.alias("i"))), lambda x: F.arrays_overlap(x["w"], _strings(prefix))), lambda x: match(x["w"], x["i"])))),
         )
         .otherwise(no_match)
         .alias("matches"),

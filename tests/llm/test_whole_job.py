@@ -75,3 +75,17 @@ def test_pii_terms_of_a_class_anywhere_in_the_text(spark):
     far = [f"zyxwolf {plain[i]} {plain[i + 1]} {plain[i + 2]} u{i}x@corp.example {plain[i + 3]} zyxwolf" for i in range(0, 48, 4)]
     got = pii_terms(spark, [*plain[48:], *far])
     assert all(got[852 + i] == {"zyxwolf"} for i in range(12)) and not any(got[i] for i in range(852))
+
+
+@pytest.mark.parametrize("width", [20, 40, 72])
+def test_wrapped_notices(spark, width):
+    import textwrap
+
+    from quern.llm.licenses import TEMPLATES, scan
+
+    texts = ["some prose before it\n" + "\n".join(textwrap.wrap(t, width)) + "\nand prose after" for _, t in TEMPLATES]
+    words = [w for _, t in TEMPLATES for w in t.split()]
+    texts.append("\n".join(" ".join([w, *(f"x{i}y{j}" for j in range(12))]) for i, w in enumerate(words)))  # the words, far apart
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(label in got[i].labels and got[i].score == 1.0 for i, (label, _) in enumerate(TEMPLATES))
+    assert all(m.block >= 1 for i in range(len(TEMPLATES)) for m in got[i].matches) and got[len(TEMPLATES)].labels == []
