@@ -89,3 +89,13 @@ def test_wrapped_notices(spark, width):
     got = {r.doc_id: r for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert all(label in got[i].labels and got[i].score == 1.0 for i, (label, _) in enumerate(TEMPLATES))
     assert all(m.block >= 1 for i in range(len(TEMPLATES)) for m in got[i].matches) and got[len(TEMPLATES)].labels == []
+
+
+def test_near_copies_of_two_sources_share_no_bin(spark, tmp_path):
+    from quern.llm.queries import QUERIES
+
+    plain = filler(40)
+    docs = [(2 * i + j, " ".join([plain[i], plain[i + 20], "changed" if j else "tail"]), f"s{2 * i + j}") for i in range(20) for j in (0, 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    bins = {r.doc_id: r.bin_id for r in QUERIES["op9_packing"](spark, str(tmp_path)).collect()}
+    assert len(bins) == 40 and all(bins[2 * i] != bins[2 * i + 1] for i in range(20))
