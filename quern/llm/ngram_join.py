@@ -502,4 +502,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = similar_documents(docs, id_col, text_col, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__quern_gone")).distinct()
     kept = docs.join(found, docs[id_col].cast("long") == F.col("__quern_gone"), "left_anti")
-    return kept
+    worded = docs[id_col].isNotNull() & F.coalesce(docs[text_col].rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    again = docs.where(worded).groupBy(F.col(id_col).alias("__quern_id")).agg(F.count(F.lit(1)).alias("__quern_n")).where("__quern_n > 1").select("__quern_id")
+    repeats = kept.join(again, worded & (docs[id_col] == F.col("__quern_id")), "left_semi")
+    once = repeats.groupBy(F.col(id_col).alias("__quern_id")).agg(F.min_by(F.struct(*docs.columns), F.col(text_col)).alias("__quern_row")).select("__quern_row.*")
+    return kept.join(again, worded & (docs[id_col] == F.col("__quern_id")), "left_anti").unionAll(once)

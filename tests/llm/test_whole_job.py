@@ -99,3 +99,12 @@ def test_near_copies_of_two_sources_share_no_bin(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     bins = {r.doc_id: r.bin_id for r in QUERIES["op9_packing"](spark, str(tmp_path)).collect()}
     assert len(bins) == 40 and all(bins[2 * i] != bins[2 * i + 1] for i in range(20))
+
+
+def test_repeated_smallest_doc_id_keeps_one_row(spark):
+    from quern.llm.ngram_join import one_of_each
+
+    a, b = filler(2)
+    rows = [(1, a), (1, a), (1, a + " z"), (2, a), (3, b), (4, ""), (4, None), (None, a), (None, a)]
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, a), (3, b), (4, ""), (4, None), (None, a), (None, a)]))
