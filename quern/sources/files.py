@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,11 @@ class Files:
         fs, p = self._fs(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def age(self, path: str) -> float:
+        """Seconds since the last change."""
+        fs, p = self._fs(path)
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+
     def delete(self, path: str) -> None:
         fs, p = self._fs(path)
         fs.delete(p, True)

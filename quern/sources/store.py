@@ -145,6 +145,37 @@ class Store:
             raise Refused(*drift)
         return [Refusal("QN-RUNTIME-002", i.name, "the layout is not deployed as declared") for i in unit.indexes if i not in deployed.indexes]
 
+    def inspect_files(self, unit: Unit) -> list[Refusal]:
+        """Columns whose files hold another type than declared, or that no file of a bucket holds."""
+        manifest, fields = self.manifest(unit), {f.name: f.dataType for f in unit.schema()}
+        found: dict[str, Refusal] = {}
+        for b, paths in manifest.data.items():
+            for path in paths:
+                have = {f.name: f.dataType for f in self.spark.read.parquet(path).schema}
+                for name, kind in fields.items():
+                    if name not in have:
+                        if not any(c.name == name and c.default is not None for c in unit.columns):
+                            found.setdefault(name, Refusal("QN-RUNTIME-004", name, f"no column of that name in bucket {b}"))
+                    elif have[name] != kind:
+                        found.setdefault(name, Refusal("QN-RUNTIME-004", name, f"{have[name].simpleString()} in bucket {b}, declared {kind.simpleString()}"))
+        return list(found.values())
+
+    def vacuum(self, older_than_s: float = 86_400.0) -> int:
+        """Delete data and work folders that no newest manifest names and that are older than that: readers of older states and writers at work need them. Returns their number."""
+        removed = 0
+        for name in self.files.names(self.root):
+            last = self._last(name)
+            if last is None:
+                continue
+            named = {p.rsplit("/", 1)[0] for ps in last.data.values() for p in ps}
+            for kind in ("data", "work"):
+                for folder in self.files.names(f"{self._folder(name)}/{kind}"):
+                    path = f"{self._folder(name)}/{kind}/{folder}"
+                    if path not in named and self.files.age(path) > older_than_s:
+                        self.files.delete(path)
+                        removed += 1
+        return removed
+
     def session(self, unit: Unit, access: Access = Access(), gate: Gate | None = None) -> Session:
         if unit.scoped == (access.mode == "global"):
             refuse("QN-SCOPE-003", unit.name, "scoped units are opened with a scope, others without", "change the access")
@@ -327,8 +358,10 @@ class Session:
                 current = merged.where("not __gone").drop("__gone", OUTCOME, ORDINAL)
             self.store.commands["batches"] += len(groups)
             failed = outcomes.where(F.col(OUTCOME).isin("UniqueViolation", "NotFound", "VersionConflict", "ComparisonMismatch"))
-            if strict and (rows := failed.limit(1000).collect()):
+            if strict and (rows := failed.collect()):  # of writes that the caller staged
                 raise BatchError(rows)
+            if outcomes.where(F.col(OUTCOME).isin("Inserted", "Updated", "Deleted")).isEmpty():
+                return None, outcomes
             if any(i.unique for i in self.unit.indexes):
                 rest = self.store.rows(self.unit, manifest, [b for b in manifest.data if b not in touched])
                 self._unique(current.select(*(f"`{f.name}`" for f in self.unit.schema())).unionAll(rest))
@@ -412,7 +445,10 @@ class Session:
             refuse("QN-APPEND-005", "rows", "an append has rows")
         key = f"{self.access.scope or ''}|{operation}"
         if isinstance(rows, DataFrame):
-            print_ = "frame"
+            # rows in any order: their number, and the sum of two digests of each
+            of = [F.col(f"`{n}`").cast("string") for n in sorted(rows.columns)]
+            summed = [F.sum(F.xxhash64(F.lit(i), *(F.coalesce(F.concat(F.lit("v"), x), F.lit("n")) for x in of)).cast("decimal(38,0)")) for i in (0, 1)]
+            print_ = "|".join(map(str, [*sorted(rows.columns), *rows.agg(F.count(F.lit(1)), *summed).first()])) if operation is not None else ""
         else:
             parts = [json.dumps({n: (Constant.of(self.unit.column(n), v).text() if self.unit.column(n).kind.value not in ("json", "double") else repr(v)) for n, v in sorted(r.items())}, sort_keys=True) for r in rows]
             print_ = hashlib.sha256("\n".join(f"{len(p)}:{p}" for p in parts).encode()).hexdigest()
@@ -492,8 +528,13 @@ class Session:
     def append_with_outcomes(self, operation: str, rows: Sequence[Mapping[str, Any]]) -> list[dict]:
         return [json.loads(x) for x in self.append_rows(rows, operation, exact=True)]
 
-    def apply_retention(self, keep: int | None = None, max_rows_per_batch: int = 512, operation: str | None = None) -> dict:
-        """Keep the newest rows of each partition. With an operation id the pass runs once."""
+    def apply_retention(self, keep: int | None = None, max_rows_per_batch: int = 512, operation: str | None = None, stop: Callable[[], bool] | None = None) -> dict:
+        """Keep the newest rows of each partition. With an operation id the pass runs once.
+
+        Without one, buckets are committed in batches of about max_rows_per_batch deleted rows, a bucket
+        at least; stop is asked before each batch, and a pass that was stopped is resumed by the next call.
+        The rows to delete are found once, and a batch deletes what of them is still there.
+        """
         self._plain()
         r = self.unit.retention
         if r is None:
@@ -503,28 +544,58 @@ class Session:
             refuse("QN-RETAIN-002", "keep", "is not negative")
         key = f"{self.access.scope or ''}|retention|{operation}"
         print_ = f"{n}|{r.order_column}|{','.join(r.partition_columns)}"
+        mine = F.lit(True) if self.access.scope is None else F.col(SCOPE) == self.access.scope
 
-        def change(manifest: Manifest):
-            if operation and (entry := manifest.ledger.get(key)):
-                if entry["print"] != print_:
-                    refuse("QN-APPEND-001", operation, "the operation was used with another watermark")
-                return None, entry["outcomes"]
-            rows = self.store.rows(self.unit, manifest)
+        def surplus(manifest: Manifest) -> tuple[DataFrame | None, dict[str, int]]:
+            """Keys of the rows beyond the newest n, by bucket, and their number in each."""
             rank = F.row_number().over(retention_window(self.unit))
-            ranked = rows.withColumn("__rank", rank)
-            mine = F.lit(True) if self.access.scope is None else F.col(SCOPE) == self.access.scope
-            old = ranked.where(mine & (F.col("__rank") > n))
-            counts = {str(x[0]): x[1] for x in old.groupBy(self._bucket()).count().collect()}
-            gone = sum(counts.values())
-            out = {"deleted": gone, "batches": -(-gone // max_rows_per_batch)}
-            if operation:
+            path = f"{self.store._folder(self.unit.name)}/work/{uuid.uuid4().hex}"
+            keys = self.store.rows(self.unit, manifest).where(mine).withColumn("__rank", rank).where(F.col("__rank") > n).select(SCOPE, *(f"`{k}`" for k in self.unit.key), self._bucket())
+            keys.write.parquet(path)
+            held = self.spark.read.schema(keys.schema).parquet(path)
+            return held, {str(x[0]): x[1] for x in held.groupBy(BUCKET).count().collect()}  # a row for each bucket
+
+        def rewrite(manifest: Manifest, gone: DataFrame, buckets: Sequence[str]) -> None:
+            gone = gone.where(F.col(BUCKET).isin([int(b) for b in buckets]))
+            rows = self.store.rows(self.unit, manifest, buckets)
+            on = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(gone[k]) for k in (SCOPE, *self.unit.key)])
+            self._write(rows.join(gone, on, "left_anti"), manifest, buckets)
+
+        if operation:
+
+            def once(manifest: Manifest):
+                if entry := manifest.ledger.get(key):
+                    if entry["print"] != print_:
+                        refuse("QN-APPEND-001", operation, "the operation was used with another watermark")
+                    return None, entry["outcomes"]
+                gone, counts = surplus(manifest)
+                out = {"deleted": sum(counts.values()), "batches": int(bool(counts)), "stopped": False}
                 manifest.ledger[key] = {"at": self.store.clock(), "print": print_, "outcomes": out}
-            if gone:
-                kept = ranked.where(~mine | (F.col("__rank") <= n)).withColumn("__b", self._bucket()).where(F.col("__b").isin([int(b) for b in counts])).drop("__b", "__rank")
-                self._write(kept, manifest, sorted(counts))
-            return (manifest if gone or operation else None), out
-
-        return self.store.commit(self.unit, change)
+                if counts:
+                    rewrite(manifest, gone, sorted(counts))
+                return manifest, out
+
+            return self.store.commit(self.unit, once)
+
+        gone, counts = surplus(self.store.manifest(self.unit))
+        out = {"deleted": 0, "batches": 0, "stopped": False}
+        waiting = sorted(counts)
+        while waiting:
+            if stop is not None and stop():
+                return out | {"stopped": True}
+            batch, rows = [], 0
+            while waiting and (not batch or rows + counts[waiting[0]] <= max_rows_per_batch or stop is None):
+                rows += counts[waiting[0]]
+                batch.append(waiting.pop(0))
+
+            def some(manifest: Manifest, batch=batch):
+                rewrite(manifest, gone, batch)
+                return manifest, None
+
+            self.store.commit(self.unit, some)
+            out["deleted"] += rows
+            out["batches"] += 1
+        return out
 
     def inspect(self) -> dict:
         """What the unit has committed, ever: the high-water mark does not go back. None: nothing yet."""

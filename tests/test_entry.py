@@ -9,7 +9,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quern.queries import ORACLE, QUERIES
+from quern import conformance, queries
+
+ORACLE, QUERIES = queries.ORACLE | conformance.ORACLE, queries.QUERIES | conformance.QUERIES
 
 ROOT = Path(__file__).resolve().parent.parent
 SF = "/root/testdata/sf0.001"

@@ -148,9 +148,9 @@ def test_sequence_log(store):
     with pytest.raises(Refused, match="APPEND-001"):
         a.append_with_outcomes("op", rows[:1])
     assert b.append_with_outcomes("op", rows[:1])[0]["seq"] == 6  # the ledger is of a scope, numbers are of the unit
-    assert a.apply_retention() == {"deleted": 1, "batches": 1}
+    assert a.apply_retention() == {"deleted": 1, "batches": 1, "stopped": False}
     assert sorted(r.seq for r in a.df().collect()) == [2, 3, 4, 5] and b.df().count() == 1
-    assert a.apply_retention(0, operation="wipe") == {"deleted": 4, "batches": 1} == a.apply_retention(0, operation="wipe")
+    assert a.apply_retention(0, operation="wipe") == {"deleted": 4, "batches": 1, "stopped": False} == a.apply_retention(0, operation="wipe")
     with pytest.raises(Refused, match="APPEND-001"):
         a.apply_retention(1, operation="wipe")
     assert a.inspect()["high_water"] == 5 and b.inspect()["high_water"] == 6
@@ -180,6 +180,15 @@ def test_scopes(store):
         store.session(LOG, Access.to("b"), gate).query(Query(LOG, page=Page(9)))
 
 
+def test_vacuum_and_files(store):
+    store.create(ITEMS)
+    s = store.session(ITEMS)
+    s.upsert({"k": "a", "v": 1}), s.upsert({"k": "a", "v": 2})
+    assert store.inspect_files(ITEMS) == [] and store.vacuum() == 0
+    assert store.vacuum(-1.0) == 3  # the first state's data, and both merges
+    assert store.session(ITEMS).read(k="a").v == 2
+
+
 def test_schema_evolution(store, tmp_path, capsys):
     v1 = Unit("doc", (Column("k", Kind.INT64, False), Column("name", Kind.STRING, collation=Collation.UNICODE_IGNORE_CASE)), ("k",))
     store.create(v1)
