@@ -7,10 +7,12 @@ work is done again, not doubled. Ids of a part are in document order; parts foll
 
 The library splits a text into pieces (its byte-level pre-tokeniser) and codes each piece alone, so a
 piece always has the same ids: known pieces are looked up, new ones are encoded by the library. Texts
-with characters beyond the range the splitter here knows go to the library whole.
+with characters beyond the range the splitter here knows, and texts that spell one of the vocabulary's
+added tokens (which the library takes out before it splits), go to the library whole.
 
 Edges: null counts as empty (the end id alone); equal or null ids are ordered by text, nulls first; an
-empty table gives a file without rows.
+empty table gives a file without rows. A very long text is encoded whole and lies in one segment, which
+is longer then; its blocks stay of one size. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -47,14 +49,19 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def ids(self, text: str) -> np.ndarray:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+            return self.whole(text)
+        if any(t in text for t in self.added):
+            return self.whole(text)
         pieces = _PIECES.findall(text)
         known = self.known
         try:
