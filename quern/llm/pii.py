@@ -20,12 +20,15 @@ Numbers that a base pattern loses because it runs on into the next one are added
 sanitised() generalises each span to its kind in brackets and removes disclosing terms.
 
 Edges: null counts as empty; each input row gives one row; rows with equal id and text share
-their spans. Only DataFrame functions run.
+their spans. Of spans that start together the one of the earlier kind comes first. Time is in proportion
+to a text's length, however many spans it holds. Other columns, whatever their names, are only handed
+on. Only DataFrame functions run.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.common import stored, text_key
@@ -51,7 +54,8 @@ STRICT = {
 AROUND, DISCLOSURE, SUPPORT, SMOOTH, SALTS = 60, 0.8, 3, 5.0, 16
 _MARK, _OTHER = "\u0001", "\u0002"
 _KEY = ["doc_id", "ka", "kb"]
-_BLOCK = 64
+#: Elements in a block of sums, characters in a block of text.
+_BLOCK, _PIECE = 64, 4096
 #: Terms are words of letters, at least three.
 _NO_TERM, _TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x40\x5B-\x60\x7B-\x7F]{3,}"
 
@@ -81,10 +85,40 @@ def _pieces(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}")), _MARK)
 
 
-def _running(lengths: Column, blocks: Column) -> Column:
-    """Sums of all lengths before each, by blocks: no array is copied for each element."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    return F.transform(lengths, lambda _, i: F.get(blocks, F.floor(i / _BLOCK).cast("int")) + total(F.slice(lengths, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK)))
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+
+def _blocks(name: str) -> Column:
+    """Sums of blocks of an array column."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(name) / _BLOCK).cast("int")), lambda b: _total(F.slice(name, b * _BLOCK + 1, _BLOCK)))
+
+
+def _running(name: str, blocks: str) -> Column:
+    """Sums of all elements before each, from those of whole blocks before."""
+    return F.transform(name, lambda _, i: F.get(blocks, F.floor(i / _BLOCK).cast("int")) + _total(F.slice(name, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK)))
+
+
+def _before(name: str) -> Column:
+    return F.transform(name, lambda _, i: _total(F.slice(name, F.lit(1), i)))
+
+
+def _placed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """rows with at_{name}: where each piece of the array column starts; null for arrays of one piece.
+
+    Sums go over blocks and blocks of blocks, so that time stays in proportion to the text. Every sum is
+    named twice where it is used: the optimizer would else put a sum named once, inside a lambda, in
+    place of its name, to be made again for every element.
+    """
+    keep = rows.columns
+    made = lambda of, c: F.when(F.size(of) > 1, c)
+    held = lambda of, c: F.when(F.size(of) > 0, c)
+    rows = rows.select("*", *(made(k, F.transform(k, F.length)).alias(f"l_{k}") for k in names))
+    rows = rows.select("*", *(held(f"l_{k}", _blocks(f"l_{k}")).alias(f"s_{k}") for k in names))
+    rows = rows.select("*", *(held(f"s_{k}", _blocks(f"s_{k}")).alias(f"u_{k}") for k in names))
+    rows = rows.select("*", *(held(f"u_{k}", _before(f"u_{k}")).alias(f"v_{k}") for k in names))
+    rows = rows.select("*", *(held(f"v_{k}", _running(f"s_{k}", f"v_{k}")).alias(f"b_{k}") for k in names))
+    return rows.select(*keep, *(held(f"b_{k}", _running(f"l_{k}", f"b_{k}")).alias(f"at_{k}") for k in names))
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = AROUND) -> DataFrame:
@@ -109,19 +143,7 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return F.when(F.size(name) > 1, F.array_compact(F.transform(name, span))).otherwise(none)
 
-    keep = ["doc_id", "k", *patterns]
-    lengths = rows.select(*keep, *(F.when(F.size(k) > 1, F.transform(k, F.length)).alias(f"l_{k}") for k in patterns))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-
-    def block_sums(name: str) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.floor(F.size(name) / _BLOCK).cast("int")), lambda b: total(F.slice(name, b * _BLOCK + 1, _BLOCK)))
-
-    def before_blocks(name: str) -> Column:
-        return F.transform(name, lambda _, i: total(F.slice(name, F.lit(1), i)))
-
-    sums = lengths.select(*keep, *(f"l_{k}" for k in patterns), *(F.when(F.size(f"l_{k}") > 1, block_sums(f"l_{k}")).alias(f"s_{k}") for k in patterns))
-    blocks = sums.select(*keep, *(f"l_{k}" for k in patterns), *(F.when(F.size(f"s_{k}") > 0, before_blocks(f"s_{k}")).alias(f"b_{k}") for k in patterns))
-    placed = blocks.select(*keep, *(F.when(F.size(f"l_{k}") > 1, _running(F.col(f"l_{k}"), F.col(f"b_{k}"))).alias(f"at_{k}") for k in patterns))
+    placed = _placed(rows, list(patterns))
     return placed.select("doc_id", F.col("k.a").alias("ka"), F.col("k.b").alias("kb"), F.array_sort(F.concat(*(spans(k) for k in KINDS))).alias("base"), F.array_sort(F.concat(*(spans(f"strict_{k}") for k in STRICT))).alias("strict"))
 
 
@@ -142,14 +164,9 @@ def _levels(kind: Column, value: Column) -> Column:
 
 def _places_of(rows: DataFrame) -> DataFrame:
     """Of (doc_id, ka, kb, t, told) the places in t of the words told: (doc_id, ka, kb, terms)."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    rows = rows.select(*_KEY, "told", _pieces(F.col("t"), _TERM).alias("p"))
-    rows = rows.select("*", F.transform("p", F.length).alias("l"))
-    rows = rows.select("*", F.transform(F.sequence(F.lit(0), F.floor(F.size("l") / _BLOCK).cast("int")), lambda b: total(F.slice("l", b * _BLOCK + 1, _BLOCK))).alias("s"))
-    rows = rows.select("*", F.transform("s", lambda _, i: total(F.slice("s", F.lit(1), i))).alias("b"))
-    rows = rows.select(*_KEY, "told", "p", _running(F.col("l"), F.col("b")).alias("at"))
-    span = lambda p, i: F.when((i % 2 == 1) & F.array_contains("told", F.lower(p)), F.struct(F.get("at", i).alias("start"), F.lit(len(KINDS)).alias("order"), (F.get("at", i) + F.length(p)).alias("end"), F.lit("term").alias("kind")))
-    return rows.select(*_KEY, F.array_compact(F.transform("p", span)).alias("terms"))
+    rows = _placed(rows.select(*_KEY, "told", _pieces(F.col("t"), _TERM).alias("p")), ["p"])
+    span = lambda p, i: F.when((i % 2 == 1) & F.array_contains("told", F.lower(p)), F.struct(F.get("at_p", i).alias("start"), F.lit(len(KINDS)).alias("order"), (F.get("at_p", i) + F.length(p)).alias("end"), F.lit("term").alias("kind")))
+    return rows.select(*_KEY, F.when(F.size("p") > 1, F.array_compact(F.transform("p", span))).alias("terms"))
 
 
 def disclosing_terms(base: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, smooth: float = SMOOTH) -> DataFrame | None:
@@ -190,40 +207,71 @@ def disclosing_terms(base: DataFrame, docs: DataFrame, id_col: str = "doc_id", t
     return _places_of(rows.join(marks, [*text, "salt"])).dropDuplicates(_KEY)
 
 
+def _apart(spans: DataFrame, of: Column, others: Column) -> DataFrame:
+    """Of rows of spans those that are not `of`, or that overlap none of `others` in their text."""
+    order = ("start", "order", "end", "rank")
+    before = F.max(F.when(others, F.col("end"))).over(W.partitionBy(*_KEY).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    # what follows, as what precedes in the other direction: Spark adds up a frame that ends unbounded anew for each row
+    after = F.min(F.when(others, F.col("start"))).over(W.partitionBy(*_KEY).orderBy(*(F.desc(c) for c in order)).rowsBetween(W.unboundedPreceding, -1))
+    met = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
+    return spans.withColumn("met", of & met).where("not met").drop("met")
+
+
+def _spans(base: DataFrame, terms: DataFrame | None) -> DataFrame:
+    """A row for each span (doc_id, ka, kb, start, order, end, kind) of a text: base ones, strict ones apart from these, terms apart from all. Rows of equal id and text count once."""
+    one = base.dropDuplicates(_KEY)
+    of = lambda df, name, rank: df.select(*_KEY, F.explode(name).alias("s")).select(*_KEY, "s.start", "s.order", "s.end", "s.kind", F.lit(rank).alias("rank"))
+    found = of(one, "base", 0).unionAll(of(one, "strict", 1))
+    found = found if terms is None else found.unionAll(of(terms, "terms", 2))
+    found = _apart(found, F.col("rank") == 1, F.col("rank") == 0)
+    return (found if terms is None else _apart(found, F.col("rank") == 2, F.col("rank") < 2)).drop("rank")
+
+
+def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left with the columns of right (one row a key at most) beside it, by _KEY."""
+    other = right.select(*(F.col(c).alias("_" + c) for c in _KEY), *(c for c in right.columns if c not in _KEY))
+    on = (F.col("ka") == F.col("_ka")) & (F.col("kb") == F.col("_kb")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    return left.join(other, on, "left").drop(*("_" + c for c in _KEY))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = AROUND, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(doc_id, ka, kb, base, spans) for each row: spans (start, order, end, kind) are base and term spans, sorted; terms never overlap base spans."""
     base = stored(base_spans(docs, id_col, text_col, around), "base")
-    terms = disclosing_terms(base, docs, id_col, text_col, disclosure, support)
-    plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind")))
-    apart = lambda c, kept: F.filter(c, lambda t: ~F.exists(kept, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    known = base.select(*_KEY, "base", F.concat(plain("base"), plain(apart("strict", "base"))).alias("known"))
-    if terms is None:
-        return known.select(*_KEY, "base", F.array_sort("known").alias("spans"))
-    other = terms.select(*(F.col(c).alias("_" + c) for c in _KEY), "terms")
-    both = known.join(other, (F.col("ka") == F.col("_ka")) & (F.col("kb") == F.col("_kb")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
-    free = F.coalesce(apart("terms", "known"), F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>"))
-    return both.select(*_KEY, "base", F.array_sort(F.concat("known", free)).alias("spans"))
+    spans = _spans(base, disclosing_terms(base, docs, id_col, text_col, disclosure, support))
+    listed = spans.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("start", "order", "end", "kind"))).alias("spans"))
+    none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
+    return _joined(base.select(*_KEY, "base"), listed).select(*_KEY, "base", F.coalesce("spans", none).alias("spans"))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with each base span generalised to [kind] and disclosing terms removed."""
-    found = find(docs, id_col, text_col).where(F.size("spans") > 0)
-    # of spans that overlap, the first stays and the end of the later one goes with it
-    merged = F.aggregate(
-        "spans",
-        F.array().cast("array<struct<start:int,end:int,kind:string>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"), F.element_at(acc, -1)["kind"].alias("kind")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))),
-    )
-    found = found.select(F.col("doc_id").alias("__id"), F.col("ka").alias("__ka"), F.col("kb").alias("__kb"), merged.alias("__cut")).dropDuplicates(["__id", "__ka", "__kb"])
+    """docs, all columns, with each base span generalised to [kind] and disclosing terms removed.
+
+    Of spans that overlap the first one's kind stands for all. A text is cut in blocks of characters
+    first, so that each piece is taken from its block and not counted from the text's start.
+    """
+    base = stored(base_spans(docs, id_col, text_col), "base")
+    spans = _spans(base, disclosing_terms(base, docs, id_col, text_col))
+    in_order = W.partitionBy(*_KEY).orderBy("start", "order", "end")
+    upto = F.max("end").over(in_order.rowsBetween(W.unboundedPreceding, -1))
+    runs = spans.withColumn("new", F.coalesce(F.col("start") >= upto, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(in_order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.groupBy(*_KEY, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "order", "end")).alias("kind"))
+    cuts = runs.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("cut"))
+    cuts = stored(cuts.select(F.col("doc_id").alias("__quern_id"), F.col("ka").alias("__quern_ka"), F.col("kb").alias("__quern_kb"), F.col("cut").alias("__quern_cut")), "cuts")
     key = text_key(F.col(text_col))
-    both = docs.join(found, (key["a"] == F.col("__ka")) & (key["b"] == F.col("__kb")) & docs[id_col].eqNullSafe(F.col("__id")), "left")
-    text, cut = docs[text_col], F.col("__cut")
-    parts = F.transform("__cut", lambda s, i: F.concat(
-        F.substring(text, F.coalesce(F.get(cut, i - 1)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get(cut, i - 1)["end"], F.lit(0))),
-        F.when(s["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))),
-    ))
-    new = F.when(F.size("__cut") > 0, F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(cut, -1)["end"] + 1, F.length(text)))).otherwise(text)
+    both = docs.join(cuts, (key["a"] == F.col("__quern_ka")) & (key["b"] == F.col("__quern_kb")) & docs[id_col].eqNullSafe(F.col("__quern_id")), "left")
+    cut = F.col("__quern_cut")
+    blocks = F.when(cut.isNotNull(), F.regexp_extract_all(docs[text_col], F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)))
+    both = both.withColumn("__quern_blocks", blocks)
+    block = lambda i: F.get("__quern_blocks", i)
+
+    def between(a: Column, b: Column) -> Column:
+        """The text from a up to b."""
+        i, j = F.floor(a / _PIECE).cast("int"), F.floor(b / _PIECE).cast("int")
+        across = F.concat(F.substring(block(i), a % _PIECE + 1, F.lit(_PIECE)), F.array_join(F.slice("__quern_blocks", i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.coalesce(F.substring(block(j), F.lit(1), b % _PIECE), F.lit("")))
+        return F.when(a >= b, F.lit("")).when(i == j, F.substring(block(i), a % _PIECE + 1, b - a)).otherwise(across)
+
+    name = lambda s: F.when(s["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    parts = F.transform(cut, lambda s, i: F.concat(between(F.coalesce(F.get(cut, i - 1)["end"], F.lit(0)), s["start"]), name(s)))
+    whole = (F.size("__quern_blocks") - 1) * _PIECE + F.length(F.element_at("__quern_blocks", -1))
+    new = F.when(cut.isNotNull(), F.concat(F.array_join(parts, ""), between(F.element_at(cut, -1)["end"], whole))).otherwise(docs[text_col])
     return both.select(*(new.alias(c) if c == text_col else docs[c] for c in docs.columns))

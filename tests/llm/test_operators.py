@@ -159,7 +159,6 @@ def test_tokens(spark, place):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     want, start = [], 0
     for i, t in sorted(docs_of(spark, place), key=lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, (d[1] or "").encode())):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -172,14 +171,17 @@ def test_token_pieces():
     import random
 
     import public_tokenizers
+    from tokenizers import Tokenizer
 
     from quern.llm.tokens import Tokens
 
     t, r = Tokens(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
-    letters = [chr(c) for c in range(256)] + list("  \n\n''stre ll") * 5 + ["中", "’"]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # as it comes
+    assert t.ids("hello <|endoftext|> x").tolist() == [31373, 220, 50256, 2124]
+    letters = [chr(c) for c in range(256)] + list("  \n\n''stre ll") * 5 + ["中", "’", "<|endoftext|>", "<|endoftext"]
     for _ in range(800):
         x = "".join(r.choice(letters) for _ in range(r.randint(0, 40)))
-        assert t.ids(x).tolist() == t.library.encode(x, add_special_tokens=False).ids
+        assert t.ids(x).tolist() == library.encode(x, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize(("n", "length", "ids"), [(0, 8, 9), (1, 8, 50257), (8, 8, 65536), (1000, 64, 50257), (5000, 5000, 2), (3001, 100, 300)])
@@ -382,6 +384,8 @@ def luhn(x):
 def base_spans(t):
     out = []
     for o, (kind, p) in enumerate((("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))):
+        if kind == "email" and "@" not in t:
+            continue  # it cannot match, and would read a long run from each of its places
         for m in re.finditer(p, t):
             digits = re.sub("[^0-9]", "", m[0])
             if kind == "ip" and max(map(int, m[0].split("."))) > 255 or kind == "card" and not (14 <= len(digits) <= 19 and luhn(digits)) or kind == "phone" and not 10 <= len(digits) <= 15:
@@ -393,7 +397,7 @@ def base_spans(t):
 def test_pii(spark, place):
     want = []
     for i, t in docs_of(spark, place):
-        found = base_spans(t or "") if len(t or "") < 100_000 else []
+        found = base_spans(t or "")
         n = collections.Counter(k for *_, k in found)
         want.append((i, n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in found).encode()).hexdigest()))
     rows = QUERIES["op10_pii"](spark, place).collect()

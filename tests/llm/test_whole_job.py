@@ -108,3 +108,16 @@ def test_repeated_smallest_doc_id_keeps_one_row(spark):
     rows = [(1, a), (1, a), (1, a + " z"), (2, a), (3, b), (4, ""), (4, None), (None, a), (None, a)]
     got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, a), (3, b), (4, ""), (4, None), (None, a), (None, a)]))
+
+
+def test_pii_in_a_long_text(spark):
+    """32,000 addresses in one text, each a base span; characters beyond the first plane between them."""
+    from quern.llm.pii import find, sanitised
+
+    words = [f"u{i}@ex.com" for i in range(32_000)]
+    text = "\U0001f600 é ".join(words)
+    df = spark.createDataFrame([(1, text, "x"), (2, "none", "y")], "doc_id long, text string, other string")
+    got = {r.doc_id: r.spans for r in find(df).collect()}
+    assert [text[s.start : s.end] for s in got[1] if s.kind == "email"] == words and got[2] == []
+    clean = {r.doc_id: r.text for r in sanitised(df).collect()}
+    assert clean == {1: "\U0001f600 é ".join(["[EMAIL]"] * 32_000), 2: "none"}
