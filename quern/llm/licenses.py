@@ -1,20 +1,28 @@
 """License scan: an exact containment join of text blocks with license templates.
 
-A block is a line, or a run of words across lines, as notices are wrapped: a run is as long as the
-template and a quarter more, and runs are tried at all places that hold a prefix word (see below) and
-begin with a word of the template. A block's set holds its distinct words. A block matches a template when it holds at
-least `threshold` of the template's distinct words. The corpus count of every template word gives one
-global order, rarest first. A template's prefix is its first |T| - ceil(threshold * |T|) + 1 words:
-a matching block holds one of them. Documents without any prefix word are done; the other ones' blocks
-pass the length filter (a block needs ceil(threshold * |T|) words), the positional filter (what can
-still follow the first common word) and the exact count. Templates are few and fixed, so they are
-literals of the plan and the join needs no shuffle; the count of template words is the only exchange.
+A block is a run of consecutive words of a document, wherever its lines end: as long as the template
+and a quarter more. A block's set holds its distinct words; it matches a template when it holds at
+least `threshold` of the template's distinct words. Runs that begin with a word of the template stand
+for all: another run moved up to its first such word loses none.
+
+The corpus count of every template word gives one global order, rarest first. A template's prefix is
+its first |T| - ceil(threshold * |T|) + 1 words: a matching block holds one of them, so runs are tried
+around prefix words only (prefix filter); a document or a run that has fewer places of template words
+than needed is left out (length and positional filters: the places that follow a start within the run),
+and the sets of what remains are intersected. Templates are rows of a table of notices, literals of the
+plan here, so the join needs no shuffle; the count of template words is the only exchange.
+
+Templates that a text cannot tell apart by the threshold, because their sets share that much of the
+smaller one (the CC notices, say), are rivals: of overlapping blocks the one with the most common words
+stays, then the one with the greatest containment. Blocks of other templates never compete.
 
 Besides, base phrases label the places where their words stand consecutively; the method's labels are
-added to theirs. score is the greatest containment of a matched block, 1 for a base phrase, else 0.
+added to theirs. score is the greatest containment of a block that stays, 1 for a base phrase, else 0.
 
 Edges: null counts as empty: no words, no labels (empty strings), null first_word and last_word. Each
-input row gives one row; ids are not used. Only DataFrame functions run.
+input row gives one row; ids are not used; rows that repeat an id or text are scanned each. Rivals that
+tie in both stay both. A very long text is one row's array; work goes with its words around prefix
+words. Columns but the id and the text are not read. Only DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -24,21 +32,29 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import NOT_WORD, ascii_lower, plain_words
+from quern.llm.common import plain_words
 
 #: Phrase and label.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Label and notice; several notices may share a label.
+#: Label and notice, words of letters and digits; several notices may share a label.
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("cc-by", "licensed under cc by 4 0"),
+    ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
 )
 THRESHOLD = Fraction(4, 5)
@@ -61,13 +77,23 @@ def word_order(docs: DataFrame, text_col: str, templates) -> list[str]:
     return sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
 
 
+def rivals(templates, threshold: Fraction = THRESHOLD) -> dict[int, list[int]]:
+    """Of each template those of other labels that share threshold of the smaller one's words."""
+    sets = [set(t.split()) for _, t in templates]
+    return {i: [j for j, b in enumerate(sets) if templates[i][0] != templates[j][0] and len(a & b) * threshold.denominator >= min(len(a), len(b)) * threshold.numerator] for i, a in enumerate(sets)}
+
+
+_MATCH = "array<struct<start:int,end:int,t:int,label:string,n:int,containment:double>>"
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] = BASE, templates=TEMPLATES, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """(doc_id, n_words, places, base_labels, matches, labels, score): places are (start, label); matches are (block, label, containment)."""
+    """(doc_id, n_words, places, base_labels, matches, labels, score): places are (start, label); matches are (start, end, t, label, n, containment), words start up to end."""
     order = word_order(docs, text_col, templates)
     rank = {w: i for i, w in enumerate(order)}
-    ordered = [(label, sorted(set(t.split()), key=rank.__getitem__)) for label, t in templates]
-    runs = [len(t.split()) * 5 // 4 for _, t in templates]
-    prefix = sorted({w for _, t in ordered for w in t[: len(t) - least(len(t), threshold) + 1]}, key=rank.__getitem__)
+    ordered = [(label, sorted(set(t.split()), key=rank.__getitem__), len(t.split()) * 5 // 4) for label, t in templates]
+    of_prefix = lambda t: t[: len(t) - least(len(t), threshold) + 1]
+    prefix = sorted({w for _, t, _ in ordered for w in of_prefix(t)}, key=rank.__getitem__)
+    none = F.array().cast(_MATCH)
 
     def place(words: Column, w: Column, i: Column) -> Column:
         out = F.lit(None).cast("struct<start:int,label:string>")
@@ -79,50 +105,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
             out = F.when(hit, F.struct((i - len(p) + 1).cast("int").alias("start"), F.lit(label).alias("label"))).otherwise(out)
         return out
 
-    def match(block: Column, number: Column) -> Column:
-        """Templates that a block (its words) matches."""
-        own = F.array_intersect(_strings(order), block)  # in the global order
-        found = []
-        for label, t in ordered:
-            need, common = least(len(t), threshold), F.array_intersect(_strings(t), own)
-            first = F.get(common, F.lit(0))
-            follow = F.least(len(t) - F.array_position(_strings(t), first), F.size(own) - F.array_position(own, first))
-            holds = (F.size(own) >= need) & (F.size(F.array_intersect(_strings(t[: len(t) - need + 1]), own)) > 0) & (1 + follow >= need) & (F.size(common) >= need)
-            found.append(F.when(holds, F.struct(number.cast("int").alias("block"), F.lit(label).alias("label"), (F.size(common) / len(t)).alias("containment"))))
-        return F.array_compact(F.array(*found))
-
-    def across(words: Column, lines: Column) -> Column:
-        """Templates that a run of words matches, each at its best run; lines has the line of each word."""
-        found = []
-        for (label, t), run in zip(ordered, runs, strict=True):
-            need = least(len(t), threshold)
-            prefixes = t[: len(t) - need + 1]
-            at = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(prefixes), i)))
-            starts = F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(F.lit(0), p - run + 1), p))))
-            starts = F.filter(starts, lambda s: F.get(words, s).isin(t))
-            best = F.array_max(F.transform(starts, lambda s: F.struct(F.size(F.array_intersect(_strings(t), F.slice(words, s + 1, F.lit(run)))).alias("n"), s.alias("s"))))
-            found.append(F.transform(F.filter(F.array(best), lambda b: b["n"] >= need), lambda b: F.struct(F.get(lines, b["s"]).cast("int").alias("block"), F.lit(label).alias("label"), (b["n"] / len(t)).alias("containment"))))
-        return F.concat(*found)
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("__text"), plain_words(text).alias("words"))
+    def runs(number: int, words: Column) -> Column:
+        """The runs that a template matches."""
+        label, t, run = ordered[number]
+        need = least(len(t), threshold)
+        at = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(of_prefix(t)), i)))
+        starts = F.array_distinct(F.flatten(F.transform(at, lambda p: F.filter(F.sequence(F.greatest(F.lit(0), p - run + 1), p), lambda s: F.get(words, s).isin(t)))))
+        own = F.transform(starts, lambda s: F.struct(s.alias("s"), F.size(F.array_intersect(_strings(t), F.slice(words, s + 1, F.lit(run)))).alias("n")))
+        found = F.transform(F.filter(own, lambda x: x["n"] >= need), lambda x: F.struct(x["s"].cast("int").alias("start"), (x["s"] + run).cast("int").alias("end"), F.lit(number).alias("t"), F.lit(label).alias("label"), x["n"].alias("n"), (x["n"] / len(t)).alias("containment")))
+        # fewer places of template words than needed: no run can hold them
+        return F.when(F.arrays_overlap(words, _strings(of_prefix(t))) & (F.size(F.array_intersect(_strings(t), words)) >= need), found).otherwise(none)
+
+    against = rivals(templates, threshold)
+    rows = docs.select(F.col(id_col).alias("doc_id"), plain_words(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
     last_words = sorted({p.split()[-1] for p in base})
-    none = F.array().cast("array<struct<start:int,label:string>>")
-    no_match = F.array().cast("array<struct<block:int,label:string,containment:double>>")
-    blocks = F.split(ascii_lower(F.col("__text")), "\n")
-    # a line break separates words, so those of the lines are those of the text
-    line_of = F.flatten(F.transform(blocks, lambda b, i: F.array_repeat(i, F.size(F.array_remove(F.split(b, NOT_WORD), "")))))
+    no_place = F.array().cast("array<struct<start:int,label:string>>")
     rows = rows.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        F.when(F.arrays_overlap("words", _strings(last_words)), F.array_compact(F.transform("words", lambda w, i: place(F.col("words"), w, i)))).otherwise(none).alias("places"),
-        F.when(
-            F.arrays_overlap("words", _strings(prefix)),
-            F.concat(F.when(F.size(blocks) > 1, across(F.col("words"), line_of)).otherwise(no_match), F.flatten(F.transform(F.filter(F.transform(blocks, lambda b, i: F.struct(F.array_remove(F.split(b, NOT_WORD), "").alias("w"), i.alias("i"))), lambda x: F.arrays_overlap(x["w"], _strings(prefix))), lambda x: match(x["w"], x["i"])))),
-        )
-        .otherwise(no_match)
-        .alias("matches"),
+        F.when(F.arrays_overlap("words", _strings(last_words)), F.array_compact(F.transform("words", lambda w, i: place(F.col("words"), w, i)))).otherwise(no_place).alias("places"),
+        F.when(F.arrays_overlap("words", _strings(prefix)), F.concat(*(runs(i, F.col("words")) for i in range(len(ordered))))).otherwise(none).alias("every"),
     )
+
+    pairs = [i * len(ordered) + j for i, js in against.items() for j in js]
+    better = lambda m, x: (x["n"] > m["n"]) | ((x["n"] == m["n"]) & (x["containment"] > m["containment"]))
+    lost = lambda m: F.exists("every", lambda x: (m["t"] * len(ordered) + x["t"]).isin(pairs) & (x["start"] < m["end"]) & (m["start"] < x["end"]) & better(m, x))
+    stays = F.filter("every", lambda m: ~(m["t"].isin([i for i, js in against.items() if js]) & lost(m))) if pairs else F.col("every")
+    rows = rows.select("doc_id", "n_words", "places", F.when(F.size("every") > 0, stays).otherwise(none).alias("matches"))
     base_labels = F.array_distinct(F.transform("places", lambda p: p["label"]))
     return rows.select(
         "doc_id",

@@ -33,21 +33,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-_TEMPLATE_ROWS = ", ".join(f"('{label}', {sorted(set(t.split()))})" for label, t in TEMPLATES)
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))}, {len(t.split()) * 5 // 4})" for i, (label, t) in enumerate(TEMPLATES))
 _BASE_ROWS = ", ".join(f"('{label}', '{phrase}', {len(phrase.split())})" for phrase, label in BASE.items())
+_ENOUGH = f"{THRESHOLD.denominator} * {{}} >= {THRESHOLD.numerator} * {{}}"
 
 OP7 = f"""
-WITH t(label, ws) AS (VALUES {_TEMPLATE_ROWS}),
+WITH t(i, label, ws, run) AS (VALUES {_TEMPLATE_ROWS}),
+rival AS (SELECT a.i AS a, b.i AS b FROM t a, t b WHERE a.label <> b.label AND {_ENOUGH.format("len(list_intersect(a.ws, b.ws))", "least(len(a.ws), len(b.ws))")}),
 p(label, phrase, n) AS (VALUES {_BASE_ROWS}),
 d AS (SELECT doc_id, {_LOWER} AS x, {_PLAIN.format(_LOWER)} AS w FROM documents),
 spots AS (SELECT doc_id, label, s - 1 AS s FROM (SELECT doc_id, w, label, phrase, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, p WHERE contains(x, 'license') AND len(w) >= n) WHERE array_to_string(w[s:s + n - 1], ' ') = phrase),
 base AS (SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM spots GROUP BY doc_id),
-block AS (SELECT doc_id, {_PLAIN.format("unnest(string_split(x, chr(10)))")} AS w FROM d),
-met AS (SELECT doc_id, label, len(list_intersect(list_distinct(w), ws)) / len(ws) AS c FROM block, t WHERE {THRESHOLD.denominator} * len(list_intersect(list_distinct(w), ws)) >= {THRESHOLD.numerator} * len(ws)),
-both_ AS (SELECT doc_id, label FROM spots UNION SELECT doc_id, label FROM met),
+near AS (SELECT doc_id, w, t.* FROM d, t WHERE {_ENOUGH.format("len(list_intersect(list_distinct(w), ws))", "len(ws)")}),
+block AS (SELECT *, len(list_intersect(list_distinct(w[s:s + run - 1]), ws)) AS n FROM (SELECT *, unnest(range(1, len(w) + 1)) AS s FROM near) WHERE list_contains(ws, w[s])),
+met AS (SELECT doc_id, i, label, s, s + run AS e, n, n / len(ws) AS c FROM block WHERE {_ENOUGH.format("n", "len(ws)")}),
+kept AS (SELECT * FROM met m WHERE NOT EXISTS (SELECT 1 FROM met x JOIN rival ON rival.b = x.i WHERE rival.a = m.i AND x.doc_id = m.doc_id AND x.s < m.e AND m.s < x.e AND (x.n > m.n OR x.n = m.n AND x.c > m.c))),
+both_ AS (SELECT doc_id, label FROM spots UNION SELECT doc_id, label FROM kept),
 named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM both_ GROUP BY doc_id),
-best AS (SELECT doc_id, max(c) AS c FROM met GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
+best AS (SELECT doc_id, max(c) AS c FROM kept GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
   coalesce(labels, '') AS labels, (CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END)::DOUBLE AS score
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN best USING (doc_id)
 """

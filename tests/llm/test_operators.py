@@ -231,22 +231,32 @@ def test_proximity(spark):
     assert "exact" in kinds[1] and kinds[2] == {"proximity"} and 3 not in kinds
 
 
+def brute_licenses(w):
+    """(labels, score) by the method's definition: every run of every template, then rivals."""
+    from quern.llm.licenses import TEMPLATES
+
+    sets = [set(t.split()) for _, t in TEMPLATES]
+    met = []
+    for i, (_, t) in enumerate(TEMPLATES):
+        run, own = len(t.split()) * 5 // 4, sets[i]
+        if 5 * len(own & set(w)) < 4 * len(own):
+            continue
+        for s in range(len(w)):
+            n = len(own & set(w[s : s + run])) if w[s] in own else 0
+            if 5 * n >= 4 * len(own):
+                met.append((i, s, s + run, n, n / len(own)))
+    rival = lambda i, j: TEMPLATES[i][0] != TEMPLATES[j][0] and 5 * len(sets[i] & sets[j]) >= 4 * min(len(sets[i]), len(sets[j]))
+    kept = [m for m in met if not any(rival(m[0], x[0]) and x[1] < m[2] and m[1] < x[2] and x[3:] > m[3:] for x in met)]
+    return {TEMPLATES[m[0]][0] for m in kept}, max((m[4] for m in kept), default=0.0)
+
+
 def test_licenses(spark, place):
     want = []
     for i, t in docs_of(spark, place):
         w = WORD.findall((t or "").translate(LOWER))
         at = [(j, label) for p, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")) for j in range(len(w)) if w[j : j + len(p.split())] == p.split()]
-        from quern.llm.licenses import TEMPLATES
-
-        labels, best = {label for _, label in at}, 0.0
-        for line in (t or "").translate(LOWER).split("\n"):
-            block = set(WORD.findall(line))
-            for label, template in TEMPLATES:
-                words = set(template.split())
-                if 5 * len(block & words) >= 4 * len(words):
-                    labels.add(label)
-                    best = max(best, len(block & words) / len(words))
-        want.append((i, len(w), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted({x for _, x in at})), ",".join(sorted(labels)), 1.0 if at else best))
+        labels, best = brute_licenses(w)
+        want.append((i, len(w), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted({x for _, x in at})), ",".join(sorted(labels | {x for _, x in at})), 1.0 if at else best))
     same(QUERIES["op7_licenses"](spark, place).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score").collect(), want)
 
 
