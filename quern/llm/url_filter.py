@@ -7,8 +7,9 @@ Every host has a tree of path segments. Segments with digits are variable and be
 once. Of the others a segment stays if at least `share` of its parent's pages go through it. Rarer
 ones are one wildcard where they hold `varies` of the parent's pages together; else those without any
 labelled page are kept apart from the labelled ones. No decision depends on an absolute count.
-Labelled branches of one parent whose block rates do not differ from the rate of all of these (a
-z-test) are merged. The tree goes as deep as templates branch; where one template is left the rest of
+Labelled branches of one parent are sorted by block rate and each is tested against the one before it
+(two proportions, pooled, at `z`): a branch that does not differ joins its cluster, whose name lists
+its members. The tree goes as deep as templates branch; where one template is left the rest of
 its path is kept.
 
 Labelled evidence reaches other hosts through the form, the path of a template with its wildcards: a
@@ -20,22 +21,27 @@ pages is smoothed with. A template is rejected when that purity reaches `purity`
 pages of its own and its form's.
 
 Pages are first counted by (host, template), with map-side combination: the tree works on these
-counts, never on pages. Verdicts return to pages by a join whose hot keys are salted.
+counts, never on pages. Verdicts return to pages by a join on the template; templates with a 64th of
+all rows or more, 64 of them at most, are joined by broadcast instead, so no task gathers a hot one.
 
 Edges: a null url or one without `://` has empty host and path; no rule fits it, and its template is
-the root of the empty host. Each input row gives one row. Only DataFrame functions run.
+the root of the empty host. Each input row gives one row, repeated ones and those with a null id too.
+Rules of equal length cannot tie on one url unless they are equal; the later one wins then. A very long
+url is one row; its segments are levels of the tree only as far as another url shares them. Columns
+but the id and the url are not read. Only DataFrame functions run.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.common import ascii_lower, stored
 
 #: Verdict, host and path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-SHARE, VARIES, Z, SMOOTH, PURITY, SUPPORT, SALTS = 0.02, 0.5, 1.96, 5.0, 0.8, 10, 16
+SHARE, VARIES, Z, SMOOTH, PURITY, SUPPORT, HOT = 0.02, 0.5, 1.96, 5.0, 0.8, 10, 64
 
 
 def host_of(url: Column) -> Column:
@@ -70,14 +76,20 @@ def templates(counts: DataFrame, share: float = SHARE, varies: float = VARIES, z
         parent = child.groupBy("host", "node").agg(F.sum("n").alias("all_n"), F.sum("rows").alias("all_rows"))
         child = child.join(parent, ["host", "node"]).withColumn("stays", (F.col("seg") == "") | F.startswith("seg", F.lit("*")) | (F.col("n") >= share * F.col("all_n")))
         tested = F.col("stays") & (F.col("seg") != "") & (F.col("labelled") > 0)
-        pool = child.groupBy("host", "node").agg(
-            (F.sum(F.when(tested, F.col("blocked"))) / F.sum(F.when(tested, F.col("labelled")))).alias("rate"), F.count_if(tested).alias("branches"), (F.sum(F.when(~F.col("stays"), F.col("n")).otherwise(0)) >= varies * F.first("all_n")).alias("variable")
-        )
-        child = child.join(pool, ["host", "node"])
-        error = F.sqrt(F.greatest(F.col("rate") * (1 - F.col("rate")), F.lit(1e-4)) / F.greatest("labelled", F.lit(1)))
-        alike = tested & (F.col("branches") > 1) & (F.abs(F.col("blocked") / F.greatest("labelled", F.lit(1)) - F.col("rate")) <= z * error)
+        rare = child.groupBy("host", "node").agg((F.sum(F.when(~F.col("stays"), F.col("n")).otherwise(0)) >= varies * F.first("all_n")).alias("variable"))
+        child = child.join(rare, ["host", "node"])
+        # branches that stay are at most 1 / share of a parent's, so the window's partitions are small
+        by_rate = W.partitionBy("host", "node", "tested").orderBy("rate", "seg")
+        child = child.withColumns({"tested": F.coalesce(tested, F.lit(False)), "rate": F.col("blocked") / F.greatest("labelled", F.lit(1))})
+        other, of = F.lag("rate").over(by_rate), F.lag("labelled").over(by_rate)
+        both = (F.col("blocked") + other * of) / F.greatest(F.col("labelled") + of, F.lit(1))
+        error = F.sqrt(F.greatest(both * (1 - both), F.lit(1e-4)) * (1 / F.greatest("labelled", F.lit(1)) + 1 / F.greatest(of, F.lit(1))))
+        child = child.withColumn("apart", F.when(F.col("tested"), F.coalesce(F.abs(F.col("rate") - other) > z * error, F.lit(True)).cast("int")).otherwise(0))
+        child = child.withColumn("cluster", F.sum("apart").over(by_rate.rowsBetween(W.unboundedPreceding, 0)))
+        inside = F.array_sort(F.collect_list(F.when(F.col("tested"), F.col("seg"))).over(W.partitionBy("host", "node", "tested", "cluster")))
+        child = child.withColumn("members", F.when(F.col("tested"), inside))
         plain = F.when(F.col("stays"), F.col("seg")).when(F.col("variable") | (F.col("labelled") > 0), F.lit("*")).otherwise(F.lit("{rare}"))
-        named = child.select("host", "node", "seg", "all_rows", plain.alias("plain"), F.when(F.coalesce(alike, F.lit(False)), F.lit("{merged}")).otherwise(plain).alias("name"))
+        named = child.select("host", "node", "seg", "all_rows", plain.alias("plain"), F.when(F.size("members") > 1, F.concat(F.lit("{"), F.array_join("members", "|"), F.lit("}"))).otherwise(plain).alias("name"))
         # a path that ends here, or the only one that is left, is done
         ends = (F.col("seg") == "") | (F.col("all_rows") == 1)
         rest = F.slice("template", level + 1, F.greatest(F.size("template") - level, F.lit(0)))
@@ -106,8 +118,10 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     said = lambda df: df.select("*", name.alias("rule"), verdict.alias("said"), template_of(F.col("path")).alias("template"))
-    counts = said(rows.select("host", "path").distinct()).groupBy("host", "template").agg(F.count(F.lit(1)).alias("n"), F.count("said").alias("labelled"), F.sum(F.when(F.col("said") == "block", 1).otherwise(0)).alias("blocked"))
-    tree = templates(stored(counts, "url-counts"))
+    pages_of = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("rows"))
+    counts = stored(said(pages_of).groupBy("host", "template").agg(F.count(F.lit(1)).alias("n"), F.count("said").alias("labelled"), F.sum(F.when(F.col("said") == "block", 1).otherwise(0)).alias("blocked"), F.sum("rows").alias("rows")), "url-counts")
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    tree = templates(counts.drop("rows"))
     totals = tree.agg(F.sum("blocked"), F.sum("labelled")).first()
     prior = (totals[0] or 0) / totals[1] if totals[1] else 0.5
     pure = tree.groupBy("host", "node").agg(F.sum("labelled").alias("own"), F.sum("blocked").alias("own_blocked"))
@@ -115,8 +129,10 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     judged = judged.withColumn("template_purity", (F.col("own_blocked") + smooth * F.coalesce("form_rate", F.lit(float(prior)))) / (F.col("own") + smooth))
     known = F.col("own") + F.coalesce("told", F.lit(0)) >= support
     judged = judged.select("host", "template", F.concat(F.lit("/"), F.array_join("node", "/")).alias("shown"), "template_purity", (known & (F.col("template_purity") >= purity)).alias("rejected"))
-    judged = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = said(rows).withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
-    return salted.join(judged, ["host", "template", "salt"]).select(
-        "page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), F.col("shown").alias("template"), "template_purity"
-    )
+    judged = stored(judged.join(counts.select("host", "template", "rows"), ["host", "template"]).withColumn("hot", F.col("rows") * HOT >= F.lit(total)).drop("rows"), "judged")
+    hot = judged.where("hot").select("host", "template", "hot", *(F.col(x).alias("hot_" + x) for x in ("shown", "template_purity", "rejected")))
+    marked = said(rows).join(F.broadcast(hot), ["host", "template"], "left")
+    shown = lambda x: F.coalesce("said", F.when(F.col(x + "rejected"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict")
+    out = lambda df, x: df.select("page_id", "host", "path", "rule", shown(x), F.col(x + "shown").alias("template"), F.col(x + "template_purity").alias("template_purity"))
+    cold = marked.where("hot is null").select("page_id", "host", "path", "rule", "said", "template").join(judged.where("not hot").drop("hot"), ["host", "template"])
+    return out(marked.where("hot"), "hot_").unionAll(out(cold, ""))

@@ -41,6 +41,16 @@ def test_url_levels_are_kept(spark):
     assert {t for _, t in got.values()} == {"/a/b/c/d/e/f/g/h/spam/*", "/a/b/c/d/e/f/g/h/ham/*"}
 
 
+def test_url_branches_merge_with_what_they_resemble(spark):
+    """Wholly blocked branches are one template though a third one is wholly allowed."""
+    from quern.llm.url_filter import judge
+
+    rules = (("block", "h.x", "/a/"), ("block", "h.x", "/b/"), ("allow", "h.x", "/c/"))
+    urls = [f"http://h.x/{d}/{i}" for d in "abc" for i in range(60)] + ["http://h.x/a/1"] * 500
+    got = {(r.path[1], r.template) for r in judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()}
+    assert got == {("a", "/{a|b}/*"), ("b", "/{a|b}/*"), ("c", "/c/*")}
+
+
 def filler(n):
     import random
 
