@@ -154,6 +154,27 @@ def test_nearest(spark, place):
     assert not by and found / total >= 0.9
 
 
+def test_nearest_probes_few_lists(spark):
+    """Vectors with structure: a tenth of the lists at most is read, and recall holds against brute force."""
+    from quern.llm.ann import Index, search
+
+    r = np.random.default_rng(5)
+    centres = r.standard_normal((60, 24))
+    v = (centres[r.integers(0, 60, 4000)] + 0.25 * r.standard_normal((4000, 24))).astype(np.float32)
+    lists = 63  # the square root of their number
+    index = Index(v.astype(np.float64), lists)
+    assert index.probes(v.astype(np.float64), 5) <= lists // 10
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for x in search(df, F.col("vec_id") % 50 == 0).collect():
+        got[x.query_id].add(x.vec_id)
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    near = unit[::50] @ unit.T
+    near[np.arange(80), np.arange(0, 4000, 50)] = -2
+    want = np.argsort(-near, 1)[:, :5]
+    assert np.mean([len(got[50 * i] & set(w.tolist())) / 5 for i, w in enumerate(want)]) >= 0.9
+
+
 def test_tokens(spark, place):
     import public_tokenizers
     from tokenizers import Tokenizer
