@@ -1,17 +1,19 @@
 """Quality classifier by nearest-neighbour voting in a latent-semantic space.
 
-Terms are byte trigrams hashed to `terms` buckets, over whole texts; beside them stand the shares of
+Terms are byte trigrams hashed to `terms` buckets, over whole texts; three more terms are the shares of
 words that repeat the word one, two or three places before. The fit takes a sample of at
 most `max_labelled` labelled rows (chosen by a hash of the id, the same at every input size), weighs
-their logarithmic counts by inverse document frequency and keeps `rank` singular directions. The
+their logarithmic counts by inverse document frequency, scales the trigrams of a text to unit length and
+then all its terms together, and keeps `rank` singular directions. The
 labelled vectors are broadcast: max_labelled * rank floats, whatever the corpus. Every document's
-vector is multiplied with all of them in blocks (exact cosines); the `neighbours` nearest vote with
-their label, weighted by a power of their similarity.
+vector is multiplied with all of them in blocks (exact cosines); the `neighbours` nearest, and all that
+are as near as the last of them, vote with their label, weighted by a power of their similarity.
 
 Edges: null or empty texts get the share of label 1 in the sample; so does every document when no
 labelled text exists (0.5 then if there is no label at all). Null labels are not learnt from; a doc_id
 labelled twice counts with its mean label (0.5 is 1); ids only select rows, no column but the text
-enters a score. Each input row gives one row.
+enters a score, and columns of other names are not read. A very long text is counted in pieces. Each
+input row gives one row, rows that repeat an id or text the same score.
 """
 
 from __future__ import annotations
@@ -50,11 +52,12 @@ def counts(text: bytes) -> np.ndarray:
 
 
 def _features(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """rows, in place: weighted logarithmic counts of unit length; the shares stay."""
+    """rows, in place: weighted logarithmic counts of unit length and weighted shares, of unit length together."""
     terms = rows[:, :TERMS]
     np.log1p(terms, out=terms)
-    terms *= weights
+    rows *= weights
     terms /= np.maximum(np.linalg.norm(terms, axis=1, keepdims=True), 1e-12)
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
     return rows
 
 
@@ -78,9 +81,10 @@ class Voters:
             return np.full(len(rows), self.prior)
         near = self.project(rows) @ self.vectors.T
         k = min(self.neighbours, near.shape[1])
-        at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, at, 1), 1e-3).astype(np.float64) ** POWER
-        got = (weight * self.labels[at]).sum(1) / weight.sum(1)
+        last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+        row, at = np.nonzero(near >= last[:, None])  # ties with the last neighbour vote too
+        weight = np.maximum(near[row, at], 1e-3).astype(np.float64) ** POWER
+        got = np.bincount(row, weight * self.labels[at], len(rows)) / np.bincount(row, weight, len(rows))
         return np.clip(np.where(empty, self.prior, got), 0.0, 1.0)
 
 
@@ -91,8 +95,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def fit_arrays(rows: np.ndarray, labels: np.ndarray, rank: int = RANK, neighbours: int = NEIGHBOURS) -> Voters:
     """rows (float32) are used up."""
     if not len(rows):
-        return Voters(np.ones(TERMS, np.float32), np.zeros((TERMS + len(LAGS), 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5, neighbours)
-    weights = (np.log((1 + len(rows)) / (1 + (rows[:, :TERMS] > 0).sum(0))) + 1).astype(np.float32)
+        return Voters(np.ones(TERMS + len(LAGS), np.float32), np.zeros((TERMS + len(LAGS), 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5, neighbours)
+    weights = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))) + 1).astype(np.float32)
     x = _features(rows, weights)  # in place: the driver holds one copy
     rank = max(1, min(rank, *x.shape))
     draw = np.random.default_rng(7).standard_normal((x.shape[1], min(rank + 16, *x.shape))).astype(np.float32)
