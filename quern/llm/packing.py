@@ -6,12 +6,16 @@ clusters it holds; a piece never joins a bin with its source or its cluster. Ope
 residual (a bitmap of the residuals in use, and the bins of each): the search starts at the least
 residual that fits and goes to the successor until a compatible bin is found, without a limit.
 
-Bins are packed in shards of about `shard_rows` pieces, dealt by a hash of the document's place in
-its table row; a shard is the largest thing a task holds, a hot source or cluster is dealt over all
-shards, and a bin is free of conflicts because it lies in one shard.
+Bins are packed in shards of about `shard_rows` pieces, dealt by a hash of the row; a shard is the
+largest thing a task holds, a hot source or cluster is dealt over all shards, and a bin is free of
+conflicts because it lies in one shard. So the tightest bin is the tightest of its shard: that is the
+price of packing in parallel, at every size alike beyond one shard, and README has its measure.
 
 Edges: a document without words, or null, has one row with null bin; a null source or cluster is
-unknown and conflicts with nothing; repeated rows are packed each on their own; a null id is packed.
+unknown and conflicts with nothing; repeated rows are packed each on their own, with bins of their own;
+a null id is packed. A very long text is cut into pieces of `capacity` words, each for itself. Pieces
+of one length go in the order of id and row, and of equally tight bins the last one that came to that
+residual takes the piece. Only the named columns are read, whatever else a table holds.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import stored
+
 CAPACITY, SHARD_ROWS = 2048, 8192
 
 
@@ -83,14 +89,12 @@ def best_fit(pieces: list[tuple[int, object, object]], capacity: int) -> tuple[l
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("bin_id", pa.int64()), ("bin_words", pa.int64())])
 
 
-def packed(docs: DataFrame, words: Column, source: Column, cluster: Column, id_col: str = "doc_id", capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, row, piece, start_word, n_words, bin_id, bin_words), a row for each piece. row: a hash of the row's id, words, source and cluster."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.cast("long").alias("n_words"), source.cast("string").alias("source"), cluster.cast("string").alias("cluster"))
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "n_words", "source", "cluster"))
+def packed(docs: DataFrame, words: Column, source: Column, cluster: Column, row: Column, id_col: str = "doc_id", capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(doc_id, row, piece, start_word, n_words, bin_id, bin_words), a row for each piece. row: a number of its own for each row of docs, the same whenever docs is read again."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.cast("long").alias("n_words"), source.cast("string").alias("source"), cluster.cast("string").alias("cluster"), row.cast("long").alias("row"))
     total = rows.agg(F.coalesce(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n_words") / capacity))), F.lit(0))).first()[0]
     shards = max(1, -(-int(total) // shard_rows))
-    # repeated rows share a hash: the draw spreads them, and with a fixed seed a recomputed task draws alike
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row", F.floor(F.rand(11) * 1024)), F.lit(shards)).cast("int"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
         held = table.sort_by([("doc_id", "ascending"), ("row", "ascending")]).to_pylist()
@@ -109,12 +113,15 @@ def packed(docs: DataFrame, words: Column, source: Column, cluster: Column, id_c
     return dealt.groupBy("shard").applyInArrow(pack, "doc_id long, row long, piece int, start_word long, n_words long, bin_id long, bin_words long")
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number of its own for each row, written, so that it stays the same."""
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def with_bins(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """docs with a column bins (one of that name is replaced): for each piece its start, words and bin. Clusters are exact copies of a text."""
-    words, cluster = n_words(F.col(text_col)), F.xxhash64(F.col(text_col)).cast("string")
-    found = packed(docs, words, F.col(source_col), cluster, id_col, capacity)
-    # rows that are alike in all that counts share one list
-    lists = found.groupBy(F.col("row").alias("__row"), F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("piece", "start_word", "n_words", "bin_id"))).alias("__bins"))
-    row = F.xxhash64(docs[id_col].cast("long"), words.cast("long"), docs[source_col].cast("string"), cluster)
-    both = docs.join(lists, (row == F.col("__row")) & docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left")
-    return both.select(*(docs[c] for c in docs.columns if c != "bins"), F.col("__bins").alias("bins"))
+    rows = numbered(docs, "__quern_row")
+    found = packed(rows, n_words(F.col(text_col)), F.col(source_col), F.xxhash64(F.col(text_col)), F.col("__quern_row"), id_col, capacity)
+    lists = found.groupBy(F.col("row").alias("__quern_of")).agg(F.sort_array(F.collect_list(F.struct("piece", "start_word", "n_words", "bin_id"))).alias("__quern_bins"))
+    both = rows.join(lists, F.col("__quern_row") == F.col("__quern_of"), "left")
+    return both.select(*(rows[c] for c in docs.columns if c != "bins"), F.col("__quern_bins").alias("bins"))

@@ -80,9 +80,8 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quern.llm.common import stored
     from quern.llm.ngram_join import similar_documents
-    from quern.llm.packing import n_words, packed
+    from quern.llm.packing import n_words, numbered, packed
 
     docs = table(spark, sf_dir, "documents")
     # a cluster is a component of near copies; rows without a doc_id have none, so their exact copies are one
@@ -90,8 +89,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", n_words(F.col("text")).alias("n_words"), "source", F.xxhash64("text").alias("__copy"))
     rows = rows.join(near, rows["doc_id"].cast("long") == near["__id"], "left")
     cluster = F.coalesce(F.concat(F.lit("near "), F.col("__near")), F.concat(F.lit("copy "), F.col("__copy")))
-    found = packed(stored(rows.select("doc_id", "n_words", "source", cluster.alias("cluster")), "clustered"), F.col("n_words"), F.col("source"), F.col("cluster"))
-    return found.drop("row")
+    rows = numbered(rows.select("doc_id", "n_words", "source", cluster.alias("cluster")), "row")
+    return packed(rows, F.col("n_words"), F.col("source"), F.col("cluster"), F.col("row")).drop("row")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,3 +151,12 @@ def test_pii_in_a_long_text(spark):
     assert [text[s.start : s.end] for s in got[1] if s.kind == "email"] == words and got[2] == []
     clean = {r.doc_id: r.text for r in sanitised(df).collect()}
     assert clean == {1: "\U0001f600 é ".join(["[EMAIL]"] * 32_000), 2: "none"}
+
+
+def test_repeated_rows_have_bins_of_their_own(spark):
+    from quern.llm.packing import with_bins
+
+    df = spark.createDataFrame([(1, "a b c " * 1000, None)] * 50, "doc_id long, text string, source string")
+    got = with_bins(df).collect()
+    assert len(got) == 50 and all([b.n_words for b in r.bins] == [2048, 952] for r in got)
+    assert len({b.bin_id for r in got for b in r.bins}) == 100  # copies of one text share no bin
