@@ -9,9 +9,10 @@ exact for shingles held as 64-bit hashes.
    occur in more than one document. A set in which fewer recur is skipped with all its tokens: most
    of a corpus ends here, and no list is ever built for it.
 2. Index lists. Of what is left, equal sets are one class. Tokens are ordered globally by a corpus
-   count sketch of fixed size and then by hash; each class posts its prefix. Lists are sorted by set
-   size and cut into blocks of length-compatible sets: a list is walked by position, and blocks whose
-   length or position bound rules the pair out are skipped.
+   count sketch of fixed size and then by hash; each class posts its prefix. Short lists are walked by
+   size and position. Long lists are cut by size into classes that grow by 1 / threshold, and these
+   into blocks: a block meets the blocks of its own class and of the two beside it, all others are
+   skipped by the length bound unread; in two blocks that meet, pairs pass length and position bounds.
 3. Answers. A short list yields its pairs. In a long list, sets that are highly similar share their
    answers: first only the pairs with the list's head and the predecessor are verified. Sets so
    connected have one answer; of a long list's remaining pairs only those between different answers
@@ -21,12 +22,15 @@ exact for shingles held as 64-bit hashes.
 Edges: null or word-less text is an empty set and links with nothing; fewer than k words make one
 shingle of the whole sequence; a null doc_id takes no part and is its own null component; rows
 repeating a doc_id are one document whose texts each have a row (component: the smallest doc_id
-that any reaches by links of its text). An empty table gives no rows.
+that any reaches by links of its text). An empty table gives no rows. A very long text is hashed in
+pieces and its set lies whole in one task. Homes go by id and text, so null ids, or many texts of one
+id, spread over all tasks. Columns but the id and the text are not read; equal sets tie as one class.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import components, forget, stored
-from quern.llm.packed import batches_of, buckets, dealt, doc_bucket, join_arrays, split_arrays, texts
+from quern.llm.packed import batches_of, buckets, dealt, digest_of, home_of, join_arrays, one_home, split_arrays, texts
 from quern.llm.text import mixed, windows, word_hashes
 
 #: Bits of a token in the relevance step. Equal short hashes of different tokens only keep a set.
@@ -103,7 +107,7 @@ def _send(k: int, n_homes: int, bits: int):
             if doc_id is None:
                 continue
             got = np.unique(_short(shingles(text, k)))
-            home = np.uint64((doc_id ^ (doc_id >> 9)) % n_homes)
+            home = np.uint64(one_home(doc_id, digest_of(text), n_homes))
             held.append(((got >> np.uint64(low_bits)) << np.uint64(low_bits + HOME_BITS)) | (home << np.uint64(low_bits)) | (got & low_mask))
             n += len(got)
             if n >= CHUNK:
@@ -333,12 +337,11 @@ def _across(num: int, den: int, forest: int):
     schema = pa.schema([(c, pa.int64()) for c in ("a1", "a2", "b1", "b2")])
 
     def run(table: pa.Table) -> pa.Table:
-        own, size, position, answer, a1, a2 = (table.column(c).to_numpy() for c in ("own", "size", "position", "answer", "a1", "a2"))
+        side, same, size, position, answer, a1, a2 = (table.column(c).to_numpy() for c in ("side", "same", "size", "position", "answer", "a1", "a2"))
         size, position = size.astype(np.int64), position.astype(np.int64)
         parity = table.column("parity").to_pylist()
-        i0 = own.min() if len(own) else 0
-        left, right = np.flatnonzero(own == i0), np.flatnonzero(own != i0)
-        if not len(right):
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if same[0]:
             right = left  # a block with itself
         x, y = (g.ravel() for g in np.meshgrid(left, right, indexing="ij"))
         keep = (answer[x] < answer[y]) if right is left else (answer[x] != answer[y])
@@ -439,7 +442,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sent = docs.mapInArrow(_send(k, n_homes, bits), "bucket int, payload binary")
     answers = dealt(sent).mapInArrow(_recurring(bits), "home int, payload binary")
     both = answers.select("home", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "payload").unionAll(
-        docs.select(F.coalesce(doc_bucket(F.col("doc_id"), n_homes), F.lit(0)).alias("home"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("payload"))
+        docs.select(home_of(F.col("doc_id"), F.col("text"), n_homes).alias("home"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("payload"))
     )
     judged = stored(dealt(both, "home").sortWithinPartitions("kind").mapInArrow(_judge(k, num, den), _KEPT), "judged")
     rows = stored(judged.where("part = -1").select("doc_id", "n", "d1", "d2"), "documents")
@@ -473,14 +476,24 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lists = stored(lists.select("list", "a1", "a2", "position", "size", "node"), "members")
     # pairs within long lists: first a few that would join answers, until that joins none; then all pairs
     # between the answers that are left, which are few
+    step = math.log(den / num) * (1 + 1e-9)  # sets that link are less than a step apart in the logarithm of their size
     for forest in (*range(1, FOREST_ROUNDS + 1), 0):
         members = lists.join(found, "node", "left").withColumn("answer", F.coalesce("component", "node"))
-        shape = members.groupBy("list").agg(F.min("answer").alias("lo"), F.max("answer").alias("hi"), F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"))
+        members = members.withColumn("g", F.floor(F.log(F.col("size").cast("double")) / step).cast("int"))
+        shape = members.groupBy("list", "g").agg(F.min("answer").alias("lo"), F.max("answer").alias("hi"), F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"))
+        # a list's size classes and their blocks; classes are few, as they grow by a quarter each
+        shape = shape.groupBy("list").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.map_from_entries(F.collect_list(F.struct("g", "blocks"))).alias("has"))
         left = members.join(shape.where("lo < hi"), "list").join(bitmaps.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), "parity"), ["a1", "a2"])
-        # a member meets every block of its list: rows (list, i, j) with i <= j hold blocks i and j
-        left = left.withColumn("own", F.pmod("a1", F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        left = left.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a1", "a2", "position", "size", "answer", "parity")
-        pairs = left.groupBy("list", "i", "j").applyInArrow(_across(num, den, forest), _FOUR).distinct()
+        left = left.withColumn("own", F.pmod("a1", F.element_at("has", F.col("g"))).cast("int"))
+        # a member meets the blocks of its own size class and of both beside it: no other class can hold a partner
+        every_block = lambda g: F.when(F.map_contains_key("has", g), F.sequence(F.lit(0), F.try_element_at("has", g) - 1)).otherwise(F.array().cast("array<int>"))
+        own_side = lambda o: F.struct(F.col("g").alias("ga"), F.least("own", o).alias("i"), F.col("g").alias("gb"), F.greatest("own", o).alias("j"), F.when(F.col("own") <= o, 0).otherwise(1).alias("side"))
+        upper = lambda o: F.struct(F.col("g").alias("ga"), F.col("own").alias("i"), (F.col("g") + 1).alias("gb"), o.alias("j"), F.lit(0).alias("side"))
+        lower = lambda o: F.struct((F.col("g") - 1).alias("ga"), o.alias("i"), F.col("g").alias("gb"), F.col("own").alias("j"), F.lit(1).alias("side"))
+        meets = F.concat(F.transform(every_block(F.col("g")), own_side), F.transform(every_block(F.col("g") + 1), upper), F.transform(every_block(F.col("g") - 1), lower))
+        left = left.withColumn("m", F.explode(meets)).select("list", "m.*", "a1", "a2", "position", "size", "answer", "parity")
+        left = left.withColumn("same", (F.col("ga") == F.col("gb")) & (F.col("i") == F.col("j")))
+        pairs = left.groupBy("list", "ga", "i", "gb", "j").applyInArrow(_across(num, den, forest), _FOUR).distinct()
         more = stored(_similar(pairs, sets, num, den), "more-links")
         if more.isEmpty():
             continue

@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +32,39 @@ def dealt(df: DataFrame, by: str = "bucket") -> DataFrame:
     return df.repartition(partitions(df.sparkSession), by)
 
 
-def doc_bucket(doc_id: Column, n: int) -> Column:
-    return F.pmod(doc_id.bitwiseXOR(F.shiftright(doc_id, 9)), F.lit(n)).cast("int")
+def digest_of(text: bytes) -> int:
+    """What Spark's xxhash64 makes of a text."""
+    h = xxhash.xxh64_intdigest(text, 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def doc_bucket_np(doc_id: np.ndarray, n: int) -> np.ndarray:
-    return np.mod(doc_id ^ (doc_id >> 9), n).astype(np.int32)
+def home_of(doc_id: Column, text: Column, n: int) -> Column:
+    """One of n homes for a row: by its id and its text, so that neither null ids nor an id that many texts share meet in one."""
+    return F.pmod(F.xxhash64(doc_id, F.xxhash64(F.coalesce(text, F.lit("")))), F.lit(n)).cast("int")
+
+
+def _hash_long(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """xxHash64 of eight bytes."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    with np.errstate(over="ignore"):
+        h = (seed + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1)
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+
+def homes_of(doc_ids: np.ndarray, digests: np.ndarray, n: int) -> np.ndarray:
+    """home_of for arrays of ids and digests."""
+    seed = _hash_long(doc_ids.astype(np.int64).view(np.uint64), np.uint64(42))
+    return np.mod(_hash_long(digests.astype(np.int64).view(np.uint64), seed).view(np.int64), n).astype(np.int32)
+
+
+def one_home(doc_id: int, digest: int, n: int) -> int:
+    seed = xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), 42)
+    h = xxhash.xxh64_intdigest(digest.to_bytes(8, "little", signed=True), seed)
+    return (h - (1 << 64) if h >> 63 else h) % n
 
 
 def join_arrays(*arrays: np.ndarray) -> bytes:

@@ -7,16 +7,19 @@ document of smaller id, or earlier in the same one) is removed; windows are judg
    it: equal windows, wherever they are, have the same phrase at the same place. Tasks count their
    phrases first; buckets confirm those that occur at least twice and tell the homes (buckets of
    documents) that hold them.
-2. Automata. The confirmed phrases are sharded by home: pyahocorasick compiles those that a home's
-   documents hold into one automaton over word codes, whose size is bounded by the home's text.
-3. Locating. Every document streams once through its home's automaton, which finds each occurrence of
-   its phrases. The windows that a located phrase stands for are named by 96-bit hashes.
+2. Automata. The confirmed phrases are sharded by home: a task compiles with pyahocorasick those that
+   its homes' documents hold into one automaton over word codes, whose size their text bounds. So a
+   document meets the passages of its own shard only, which hold all that recur in it.
+3. Locating. Every document streams once through its task's automaton, which finds each occurrence of
+   its phrases; an automaton's letters are hash bits, so a hit is a candidate, not yet a match. The windows that a located phrase stands for are named by 96-bit hashes.
 4. First starts. A task keeps the first start of each window it holds and knows the rest as removed;
    buckets do the same over all tasks. What is removed goes to the document's home and is cut there.
 
 Edges: a null text has no words; a text of fewer words than the window loses none; rows without a
 doc_id take no part and lose nothing; rows that repeat a doc_id are judged alike, by (doc_id, start),
-each on its own text; an empty table gives no rows; other columns are not read.
+each on its own text; an empty table gives no rows; other columns are not read. A very long text is
+hashed in pieces and lies whole in one task, as its words do. Homes go by id and text, so rows without
+a doc_id, or many texts of one, spread over all tasks; rows equal in both lie together.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.packed import batches_of, buckets, dealt, doc_bucket, doc_bucket_np, join_arrays, split_arrays, texts
+from quern.llm.packed import batches_of, buckets, dealt, digest_of, home_of, homes_of, join_arrays, one_home, split_arrays, texts
 from quern.llm.text import mixed, sliding_minimum, windows, word_hashes
 
 #: Words in a phrase. The automaton reads two letters of six bits for each word, from its hash: few
@@ -95,7 +98,7 @@ def _count(window: int, n_buckets: int):
             if doc_id is None or len(hashes) < window:
                 continue
             _, place = _places(hashes, window)
-            held.append(((doc_id ^ (doc_id >> 9)) % n_buckets, _codes(hashes)[np.unique(place)]))
+            held.append((one_home(doc_id, digest_of(text), n_buckets), _codes(hashes)[np.unique(place)]))
             n += len(held[-1][1])
             if n >= CHUNK:
                 yield from flush(held)
@@ -160,7 +163,7 @@ def _removed_rows(doc_ids, digests, doc: np.ndarray, start: np.ndarray, window:
     doc, start = doc[keep], start[keep].astype("<u4")
     which, count = np.unique(doc, return_counts=True)
     ids, marks = doc_ids[which], digests[which]
-    home = doc_bucket_np(ids, n_homes)
+    home = homes_of(ids, marks, n_homes)
     begin = np.cumsum(count) - count
     for h in np.unique(home):
         at = np.flatnonzero(home == h)
@@ -214,7 +217,7 @@ def _locate(window: int, n_buckets: int):
             if doc_id is None or len(hashes) < window:
                 continue
             mark = hashlib.blake2b(text, digest_size=16).digest()
-            digest = int(np.frombuffer(mark, "<i8")[0])
+            digest = digest_of(text)
             if best.setdefault(mark, doc_id) < doc_id:  # a copy of an earlier document, seen in this task: all of it goes
                 last = len(hashes) - window
                 start = np.append(np.arange(0, last, window), last)
@@ -289,7 +292,7 @@ def _cut(window: int):
                     continue
                 text = column[i].as_py() or b""
                 words = text.split()
-                key = (ids[i], int(np.frombuffer(hashlib.blake2b(text, digest_size=16).digest(), "<i8")[0]))
+                key = (ids[i], digest_of(text))
                 gone = 0
                 if key in removed:
                     step = np.zeros(len(words) + 1, np.int32)
@@ -315,7 +318,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counted = docs.mapInArrow(_count(window, n), "bucket int, payload binary")
     answers = dealt(counted).mapInArrow(_confirm, "home int, payload binary")
-    own = docs.select(F.coalesce(doc_bucket(F.col("doc_id"), n), F.lit(0)).alias("home"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("payload"))
+    own = docs.select(home_of(F.col("doc_id"), F.col("text"), n).alias("home"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("payload"))
     note = lambda df: df.select("home", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "payload")
     located = dealt(note(answers).unionAll(own), "home").sortWithinPartitions("kind").mapInArrow(_locate(window, n), "kind int, bucket int, home int, payload binary")
     gone = dealt(located).mapInArrow(_resolve(window, n), "kind int, bucket int, home int, payload binary")

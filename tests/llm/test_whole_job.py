@@ -160,3 +160,17 @@ def test_repeated_rows_have_bins_of_their_own(spark):
     got = with_bins(df).collect()
     assert len(got) == 50 and all([b.n_words for b in r.bins] == [2048, 952] for r in got)
     assert len({b.bin_id for r in got for b in r.bins}) == 100  # copies of one text share no bin
+
+
+def test_homes_are_the_same_everywhere(spark):
+    import numpy as np
+
+    from quern.llm.packed import digest_of, home_of, homes_of, one_home
+
+    rows = [(i * 1024 - 7, f"é text {i}") for i in range(300)] + [(-5, ""), (2**62, "x" * 100)]
+    df = spark.createDataFrame([*rows, (None, "a"), (None, "b"), (3, None)], "doc_id long, text string")
+    got = [r.h for r in df.select(home_of(df.doc_id, df.text, 97).alias("h")).collect()]
+    digests = [digest_of(t.encode()) for _, t in rows]
+    assert got[: len(rows)] == [one_home(i, d, 97) for (i, _), d in zip(rows, digests, strict=True)]
+    assert got[: len(rows)] == homes_of(np.array([i for i, _ in rows]), np.array(digests), 97).tolist()
+    assert got[-1] == one_home(3, digest_of(b""), 97) and len(set(got)) > 85  # multiples of 1,024 spread too
