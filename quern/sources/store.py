@@ -4,6 +4,10 @@ A unit's rows lie in key buckets. A change reads and rewrites only the buckets t
 key; what it wrote becomes visible by creating the next manifest, which fails if another writer has
 created it, and then the change is made again on the new state. Sequences, high-water marks and
 operation ledgers live in the manifest, so they commit with the rows.
+
+A unit of work over several units creates the next manifest of each, all naming one decision file;
+they count once that file says so. It is created once, by the unit of work or by a writer that
+found such a manifest undecided and gave up waiting, so either all count or none.
 """
 
 from __future__ import annotations
@@ -34,6 +38,9 @@ from quern.sources.files import Files, conform
 
 OP, ORDINAL, EXPECT, SET_, OUTCOME = (RESERVED + x for x in ("op", "ordinal", "expect", "set_", "outcome"))
 RETRIES, RECLAIM = 8, 128
+#: Seconds that a writer waits for the decision on a manifest of several units before it decides against it.
+PATIENCE_S = 5.0
+DONE, UNDONE = "committed", "abandoned"
 
 
 class Conflict(RuntimeError):
@@ -59,6 +66,11 @@ class Manifest:
     high_water: dict[str, int] = field(default_factory=dict)
     ledger: dict[str, dict] = field(default_factory=dict)
     history: list[str] = field(default_factory=list)
+    #: The decision file of a unit of work over several units.
+    decision: str | None = None
+
+    def copy(self) -> Manifest:
+        return replace(self, data=dict(self.data), ledger=dict(self.ledger), high_water=dict(self.high_water), history=list(self.history), decision=None)
 
     def text(self) -> str:
         return json.dumps(self.__dict__, sort_keys=True)
@@ -73,6 +85,8 @@ class Write:
     if_version: int | None = None
     create_only: bool = False
     expected: Mapping[str, Any] | None = None
+    #: Name of the unit; the unit of work's first where none is given.
+    unit: str | None = None
 
 
 class Store:
@@ -84,12 +98,31 @@ class Store:
     def _folder(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _last(self, name: str) -> Manifest | None:
+    def _decided(self, path: str, settle: bool) -> bool:
+        """Whether the manifests that name this decision count. With settle an open one is waited for, then decided against."""
+        began = time.monotonic()
+        while True:
+            told = self.files.read(path) if self.files.exists(path) else ""
+            if told or not settle:
+                return told == DONE
+            waited = time.monotonic() - began
+            if waited > 2 * PATIENCE_S:  # created, never written
+                raise Conflict(path)
+            if waited < PATIENCE_S or not self.files.create(path, UNDONE):
+                time.sleep(0.05)
+
+    def _last(self, name: str, settle: bool = False) -> Manifest | None:
+        """The newest state that counts; its number is that of the newest manifest, so the next one is free. Writers settle."""
         names = [n for n in self.files.names(self._folder(name) + "/manifest") if n.endswith(".json")]
-        return Manifest(**json.loads(self.files.read(f"{self._folder(name)}/manifest/{names[-1]}"))) if names else None
-
-    def manifest(self, unit: Unit) -> Manifest:
-        found = self._last(unit.name)
+        for n in reversed(names):
+            found = Manifest(**json.loads(self.files.read(f"{self._folder(name)}/manifest/{n}")))
+            if found.decision is None or self._decided(found.decision, settle):
+                found.number = int(names[-1].removesuffix(".json"))
+                return found
+        return None
+
+    def manifest(self, unit: Unit, settle: bool = False) -> Manifest:
+        found = self._last(unit.name, settle)
         if found is None:
             refuse("QN-RUNTIME-003", unit.name, "the unit does not exist", "create it")
         return found
@@ -108,8 +141,8 @@ class Store:
     def commit(self, unit: Unit, change: Callable[[Manifest], tuple[Manifest | None, Any]]) -> Any:
         """Make a change on the newest state, again if another writer was first."""
         for _ in range(RETRIES):
-            now = self.manifest(unit)
-            new, out = change(replace(now, data=dict(now.data), ledger=dict(now.ledger), high_water=dict(now.high_water), history=list(now.history)))
+            now = self.manifest(unit, settle=True)
+            new, out = change(now.copy())
             if new is None:
                 return out
             new.number = now.number + 1
@@ -182,8 +215,22 @@ class Store:
         self.admit(unit)
         return Session(self, unit, access, gate)
 
-    def unit_of_work(self, unit: Unit, access: Access = Access(), max_rows: int = 1000, exact: bool = False) -> UnitOfWork:
-        return UnitOfWork(self.session(unit, access), max_rows, exact)
+    def publish_all(self, changed: Sequence[tuple[str, Manifest]]) -> bool:
+        """Publish the next manifests of several units, all or none."""
+        if len(changed) == 1:
+            return self.publish(*changed[0])
+        path = f"{self.root}/_decisions/{uuid.uuid4().hex}"
+        for name, m in changed:
+            m.decision = path
+            if not self.publish(name, m):
+                self.files.create(path, UNDONE)
+                return False
+        return self.files.create(path, DONE)
+
+    def unit_of_work(self, unit: Unit | Sequence[Unit], access: Access | Mapping[str, Access] = Access(), max_rows: int = 1000, exact: bool = False) -> UnitOfWork:
+        """Of one unit or of several; access is one for all or by the unit's name."""
+        units = [unit] if isinstance(unit, Unit) else list(unit)
+        return UnitOfWork([self.session(u, access if isinstance(access, Access) else access.get(u.name, Access())) for u in units], max_rows, exact)
 
 
 class Session:
@@ -198,12 +245,15 @@ class Session:
         if self.access.mode == "across":
             refuse("QN-SCOPE-004", self.unit.name, "privileged access only queries across scopes", "open a scoped session")
 
-    def df(self) -> DataFrame:
-        rows = self.store.rows(self.unit)
+    def df(self, manifest: Manifest | None = None) -> DataFrame:
+        rows = self.store.rows(self.unit, manifest)
         return rows.where(F.col(SCOPE) == self.access.scope) if self.access.mode == "scoped" else rows
 
     def read(self, **key: Any) -> Row | None:
         """A row by its key: its bucket alone is read."""
+        return self._read(key)
+
+    def _read(self, key: Mapping[str, Any], manifest: Manifest | None = None) -> Row | None:
         self._plain()
         if set(key) != set(self.unit.key):
             refuse("QN-KEY-003", self.unit.name, "a point read gives the whole key")
@@ -211,7 +261,7 @@ class Session:
             Constant.of(self.unit.column(k), v)
         frame = self._frame([key], list(self.unit.key))
         bucket = frame.select(self._bucket()).first()[0]
-        found = self.store.rows(self.unit, only=[str(bucket)])
+        found = self.store.rows(self.unit, manifest, [str(bucket)])
         if self.access.mode == "scoped":
             found = found.where(F.col(SCOPE) == self.access.scope)
         for k, v in key.items():
@@ -339,34 +389,37 @@ class Session:
                 if not df.groupBy(SCOPE, *cols).count().where("count > 1").isEmpty():
                     refuse("QN-WRITE-002", i.name, "another row has these values")
 
-    def _apply(self, groups: Sequence[tuple[DataFrame, Sequence[str]]], strict: bool = False, extra: Callable[[Manifest], Any] | None = None) -> list[Row] | DataFrame:
-        """Merge groups of changes (disjoint keys) in one commit. Returns (ORDINAL, OUTCOME) rows as a stored frame."""
+    def _merge(self, manifest: Manifest, groups: Sequence[tuple[DataFrame, Sequence[str]]], strict: bool = False) -> tuple[bool, DataFrame]:
+        """Merge groups of changes (disjoint keys) into a manifest at hand. Whether it changed, and (ORDINAL, OUTCOME) rows as a stored frame."""
+        touched = sorted({str(r[0]) for frame, _ in groups for r in frame.select(self._bucket()).distinct().collect()})  # at most the bucket count
+        current = self.store.rows(self.unit, manifest, touched)
+        outcomes = None
+        for frame, names in groups:
+            merged = self._merged(current, frame, names)
+            path = f"{self.store._folder(self.unit.name)}/work/{uuid.uuid4().hex}"
+            merged.write.parquet(path)
+            merged = self.spark.read.schema(merged.schema).parquet(path)
+            part = merged.where(F.col(OUTCOME).isNotNull()).select(ORDINAL, OUTCOME)
+            outcomes = part if outcomes is None else outcomes.unionAll(part)
+            current = merged.where("not __gone").drop("__gone", OUTCOME, ORDINAL)
+        self.store.commands["batches"] += len(groups)
+        failed = outcomes.where(F.col(OUTCOME).isin("UniqueViolation", "NotFound", "VersionConflict", "ComparisonMismatch"))
+        if strict and (rows := failed.collect()):  # of writes that the caller staged
+            raise BatchError(rows)
+        if outcomes.where(F.col(OUTCOME).isin("Inserted", "Updated", "Deleted")).isEmpty():
+            return False, outcomes
+        if any(i.unique for i in self.unit.indexes):
+            rest = self.store.rows(self.unit, manifest, [b for b in manifest.data if b not in touched])
+            self._unique(current.select(*(f"`{f.name}`" for f in self.unit.schema())).unionAll(rest))
+        self._write(current, manifest, touched)
+        return True, outcomes
+
+    def _apply(self, groups: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+        """Merge groups of changes in one commit."""
 
         def change(manifest: Manifest):
-            if extra is not None and (known := extra(manifest)) is not None:
-                return None, known
-            touched = sorted({str(r[0]) for frame, _ in groups for r in frame.select(self._bucket()).distinct().collect()})  # at most the bucket count
-            current = self.store.rows(self.unit, manifest, touched)
-            outcomes = None
-            for frame, names in groups:
-                merged = self._merged(current, frame, names)
-                path = f"{self.store._folder(self.unit.name)}/work/{uuid.uuid4().hex}"
-                merged.write.parquet(path)
-                merged = self.spark.read.schema(merged.schema).parquet(path)
-                part = merged.where(F.col(OUTCOME).isNotNull()).select(ORDINAL, OUTCOME)
-                outcomes = part if outcomes is None else outcomes.unionAll(part)
-                current = merged.where("not __gone").drop("__gone", OUTCOME, ORDINAL)
-            self.store.commands["batches"] += len(groups)
-            failed = outcomes.where(F.col(OUTCOME).isin("UniqueViolation", "NotFound", "VersionConflict", "ComparisonMismatch"))
-            if strict and (rows := failed.collect()):  # of writes that the caller staged
-                raise BatchError(rows)
-            if outcomes.where(F.col(OUTCOME).isin("Inserted", "Updated", "Deleted")).isEmpty():
-                return None, outcomes
-            if any(i.unique for i in self.unit.indexes):
-                rest = self.store.rows(self.unit, manifest, [b for b in manifest.data if b not in touched])
-                self._unique(current.select(*(f"`{f.name}`" for f in self.unit.schema())).unionAll(rest))
-            self._write(current, manifest, touched)
-            return manifest, outcomes
+            changed, outcomes = self._merge(manifest, groups)
+            return manifest if changed else None, outcomes
 
         return self.store.commit(self.unit, change)
 
@@ -610,27 +663,81 @@ def retention_window(unit: Unit) -> W:
 
 
 class UnitOfWork:
-    """Staged writes: the last for a key wins; they commit together or not at all."""
-
-    def __init__(self, session: Session, max_rows: int, exact: bool):
-        self.session, self.max_rows, self.exact = session, max_rows, exact
-        self.staged: list[Write] = []
+    """Staged writes of one or more units: the last for a key wins; they commit together or not at all.
+
+    At max_rows staged writes, before a query and at the commit they are flushed: coalesced, grouped by
+    unit, mode and columns, and merged into states that nobody else sees. Changes that were flushed lie
+    in files, so the driver holds max_rows of them at most, and are merged again where another writer
+    was first. Superseded means by a later write of the same flush. With exact, an outcome is kept for
+    every write. After a failure nothing is committed and only another unit of work can go on.
+    """
+
+    def __init__(self, sessions: Session | Sequence[Session], max_rows: int, exact: bool):
+        if max_rows < 1:
+            refuse("QN-BATCH-003", "max_rows", "is at least one")
+        listed = [sessions] if isinstance(sessions, Session) else list(sessions)
+        self.sessions = {s.unit.name: s for s in listed}
+        if not listed or len(self.sessions) < len(listed):
+            refuse("QN-BATCH-004", "units", "a unit of work has different units, one at least")
+        for s in listed:
+            s._plain()
+        self.store, self.first, self.max_rows, self.exact = listed[0].store, listed[0].unit.name, max_rows, exact
+        self.staged: list[tuple[int, Write]] = []
         self.failed = False
-
-    def stage(self, write: Write) -> None:
+        self._begin()
+
+    def _begin(self) -> None:
+        self.total = 0
+        self.flushed: list[tuple[str, list[tuple[str, T.StructType, list[str]]]]] = []
+        self.superseded: dict[int, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.states: dict[str, Manifest] = {}
+        self.changed: set[str] = set()
+        self.counts: Counter[str] = Counter()
+        self.outcomes: dict[int, str] = {}
+
+    def _session(self, write: Write) -> Session:
+        name = write.unit or self.first
+        if name not in self.sessions:
+            refuse("QN-BATCH-005", name, "the unit is not of this unit of work", "begin one that has it")
+        return self.sessions[name]
+
+    def _healthy(self) -> None:
         if self.failed:
-            refuse("QN-BATCH-001", self.session.unit.name, "a write of this unit of work has failed", "begin another")
-        if any(w is write for w in self.staged):
-            refuse("QN-BATCH-002", self.session.unit.name, "the same write is staged twice", "make a new one")
-        self.session._check(write.values, write.mode == "insert")
-        self.staged.append(write)
+            refuse("QN-BATCH-001", self.first, "a write of this unit of work has failed", "begin another")
+
+    def _identity(self, write: Write) -> tuple:
+        return (write.unit or self.first, *(write.values[k] for k in self._session(write).unit.key))
 
-    def read(self, **key: Any) -> dict[str, Any] | None:
+    def stage(self, write: Write) -> None:
+        self._healthy()
+        if any(w is write for _, w in self.staged):
+            refuse("QN-BATCH-002", write.unit or self.first, "the same write is staged twice", "make a new one")
+        session = self._session(write)
+        session._check(write.values, write.mode == "insert")
+        if any(write.values.get(k) is None for k in session.unit.key):
+            refuse("QN-BATCH-006", session.unit.name, "a staged write gives its key", "append rows that are numbered by the store")
+        self.staged.append((self.total, write))
+        self.total += 1
+        if len(self.staged) >= self.max_rows:
+            self.flush()
+
+    def _state(self, name: str) -> Manifest:
+        if name not in self.states:
+            self.states[name] = self.store.manifest(self.sessions[name].unit, settle=True).copy()
+        return self.states[name]
+
+    def read(self, unit: str | None = None, /, **key: Any) -> dict[str, Any] | None:
         """The row as the staged writes will leave it; nothing is committed."""
-        row = self.session.read(**key)
-        now = None if row is None else {n: row[n] for n in self.session.unit.visible()}
-        wanted = tuple(key[k] for k in self.session.unit.key)
-        mine = [w for w in self.staged if tuple(w.values[k] for k in self.session.unit.key) == wanted]
+        self._healthy()
+        name = unit or self.first
+        session = self._session(Write("", {}, unit=name))
+        row = session._read(key, self.states.get(name))
+        now = None if row is None else {n: row[n] for n in session.unit.visible()}
+        wanted = (name, *(key[k] for k in session.unit.key))
+        mine = [w for _, w in self.staged if self._identity(w) == wanted]
         if not mine:
             return now
         last = mine[-1]
@@ -638,41 +745,83 @@ class UnitOfWork:
             return None
         if last.mode == "update" and now is None:
             return None
-        return (now or {c.name: c.default for c in self.session.unit.columns}) | dict(last.values)
+        return (now or {c.name: c.default for c in session.unit.columns}) | dict(last.values)
 
-    def _coalesced(self) -> tuple[dict[tuple, list[tuple[int, Write]]], dict[int, int]]:
+    def query(self, q: plans.Query, unit: str | None = None) -> plans.Result:
+        """The unit as the staged writes will leave it: they are flushed first."""
+        self.flush()
+        session = self._session(Write("", {}, unit=unit))
+        session._admit(q)
+        return plans.run(session.df(self.states.get(session.unit.name)), q, session.access)
+
+    def _groups(self) -> dict[str, list[list[tuple[int, Write]]]]:
+        """The last write of each key, by unit, then by mode, columns and conditions."""
         last: dict[tuple, int] = {}
-        superseded: dict[int, int] = {}
-        for i, w in enumerate(self.staged):
-            key = tuple(w.values[k] for k in self.session.unit.key)
+        for place, w in self.staged:
+            key = self._identity(w)
             if key in last:
-                superseded[last[key]] = i
-            last[key] = i
-        groups: dict[tuple, list[tuple[int, Write]]] = {}
-        for i in sorted(last.values()):
-            w = self.staged[i]
-            mode = "create" if w.create_only else w.mode
-            groups.setdefault((mode, tuple(sorted(w.values)), w.if_version, json.dumps(w.expected, default=str, sort_keys=True)), []).append((i, w))
-        return groups, superseded
+                self.superseded[last[key]] = place
+            last[key] = place
+        kept, groups = set(last.values()), {}
+        for place, w in self.staged:
+            if place in kept:
+                mode = "create" if w.create_only else w.mode
+                how = (mode, tuple(sorted(w.values)), w.if_version, json.dumps(w.expected, default=str, sort_keys=True))
+                groups.setdefault(w.unit or self.first, {}).setdefault(how, []).append((place, w))
+        return {unit: list(by.values()) for unit, by in groups.items()}
+
+    def flush(self) -> None:
+        """Merge the staged writes into states of this unit of work's own."""
+        self._healthy()
+        try:
+            for name, groups in self._groups().items():
+                session, stored = self.sessions[name], []
+                for members in groups:
+                    w = members[0][1]
+                    frame, names = session._changes([x.values for _, x in members], "create" if w.create_only else w.mode, session._version(w.if_version), w.expected)
+                    numbers = session.spark.createDataFrame([(k, place) for k, (place, _) in enumerate(members)], f"{ORDINAL} long, i long")
+                    frame = frame.join(F.broadcast(numbers), ORDINAL).drop(ORDINAL).withColumnRenamed("i", ORDINAL)
+                    path = f"{self.store._folder(name)}/work/{uuid.uuid4().hex}"
+                    frame.write.parquet(path)
+                    stored.append((path, frame.schema, names))
+                self.flushed.append((name, stored))
+                self._run(name, stored)
+            self.staged = []
+        except Exception:
+            self.failed = True
+            raise
+
+    def _run(self, name: str, stored: Sequence[tuple[str, T.StructType, list[str]]]) -> None:
+        session = self.sessions[name]
+        changed, outcomes = session._merge(self._state(name), [(session.spark.read.schema(schema).parquet(path), names) for path, schema, names in stored], strict=True)
+        if changed:
+            self.changed.add(name)
+        if self.exact:
+            told = {r[ORDINAL]: r[OUTCOME] for r in outcomes.collect()}  # of a flush, max_rows at most
+            self.outcomes |= told
+            self.counts.update(told.values())
+        else:
+            self.counts.update({r[OUTCOME]: r["count"] for r in outcomes.groupBy(OUTCOME).count().collect()})  # a row for each outcome
 
     def commit(self) -> dict:
         """Counts; with exact, outcomes of every staged write too."""
-        groups, superseded = self._coalesced()
-        frames = []
-        for (mode, names, version, _), members in groups.items():
-            frame, used = self.session._changes([w.values for _, w in members], mode, self.session._version(version), members[0][1].expected)
-            numbers = self.session.spark.createDataFrame([(k, i) for k, (i, _) in enumerate(members)], f"{ORDINAL} long, i long")
-            frames.append((frame.join(F.broadcast(numbers), ORDINAL).drop(ORDINAL).withColumnRenamed("i", ORDINAL), used))
+        self.flush()
         try:
-            rows = self.session._apply(frames, strict=True).collect() if frames else []  # of writes that the caller staged
-        except BatchError:
+            for _ in range(RETRIES):
+                new = [(n, replace(self.states[n], number=self.states[n].number + 1)) for n in sorted(self.changed)]
+                if not new or self.store.publish_all(new):
+                    break
+                self.store.commands["conflicts"] += 1
+                self._forget()
+                for name, stored in self.flushed:
+                    self._run(name, stored)
+            else:
+                raise Conflict(",".join(sorted(self.changed)))
+        except Exception:
             self.failed = True
             raise
-        counts = Counter(r[OUTCOME] for r in rows)
-        out = {"submitted": len(self.staged), "applied": len(rows), "superseded": len(superseded), **counts}
+        out = {"submitted": self.total, "applied": sum(self.counts.values()), "superseded": len(self.superseded), **self.counts}
         if self.exact:
-            by = {r[ORDINAL]: r[OUTCOME] for r in rows}
-            out["outcomes"] = [f"Superseded:{superseded[i]}" if i in superseded else by[i] for i in range(len(self.staged))]
-        self.staged = []
+            out["outcomes"] = [f"Superseded:{self.superseded[i]}" if i in self.superseded else self.outcomes[i] for i in range(self.total)]
+        self._begin()
         return out
-

@@ -120,6 +120,90 @@ def test_unit_of_work(store):
     assert {r.k for r in store.session(ITEMS).df().collect()} == {"a", "b", "c"}
 
 
+def test_unit_of_work_flushes(store):
+    store.create(ITEMS)
+    work = store.unit_of_work(ITEMS, max_rows=2, exact=True)
+    for w in (Write("upsert", {"k": "a", "v": 1}), Write("upsert", {"k": "a", "v": 2}), Write("upsert", {"k": "a", "note": "n"}), Write("insert", {"k": "b"}), Write("insert", {"k": "c"})):
+        work.stage(w)
+    assert len(work.staged) == 1 and len(work.flushed) == 2
+    assert work.read(k="a") == {"k": "a", "v": 2, "note": "n"} and work.read(k="c") is not None
+    assert {r.k for r in work.query(Query(ITEMS, page=Page(9))).rows} == {"a", "b", "c"}
+    assert store.session(ITEMS).df().isEmpty() and store.manifest(ITEMS).number == 1
+    store.session(ITEMS).upsert({"k": "z", "v": 9})  # another writer is first
+    out = work.commit()
+    assert out["outcomes"] == ["Superseded:1", "Inserted", "Updated", "Inserted", "Inserted"]
+    assert (out["submitted"], out["applied"], out["superseded"], out["Inserted"], out["Updated"]) == (5, 4, 1, 3, 1)
+    assert {(r.k, r.v, r.note) for r in store.session(ITEMS).df().collect()} == {("a", 2, "n"), ("b", None, None), ("c", None, None), ("z", 9, None)}
+    bad = store.unit_of_work(ITEMS, max_rows=1)
+    bad.stage(Write("insert", {"k": "y"}))
+    with pytest.raises(BatchError):
+        bad.stage(Write("insert", {"k": "a"}))
+    for after in (bad.commit, bad.flush, lambda: bad.read(k="y"), lambda: bad.stage(Write("insert", {"k": "x"}))):
+        with pytest.raises(Refused, match="BATCH-001"):
+            after()
+    assert store.session(ITEMS).read(k="y") is None
+    with pytest.raises(Refused, match="BATCH-003"):
+        store.unit_of_work(ITEMS, max_rows=0)
+
+
+OTHER = dataclasses.replace(ITEMS, name="other", indexes=())
+
+
+def test_unit_of_work_over_units(store):
+    store.create(ITEMS), store.create(OTHER), store.create(LOG)
+    work = store.unit_of_work([ITEMS, OTHER], exact=True)
+    for w in (Write("insert", {"k": "a", "v": 1}), Write("insert", {"k": "a", "v": 1}, unit="other"), Write("insert", {"k": "b"}, unit="other")):
+        work.stage(w)
+    with pytest.raises(Refused, match="BATCH-005"):
+        work.stage(Write("insert", {"k": "a"}, unit="log"))
+    assert work.read("other", k="b") is not None and work.read(k="b") is None
+    assert work.commit()["outcomes"] == ["Inserted"] * 3
+    assert store.session(ITEMS).df().count() == 1 and store.session(OTHER).df().count() == 2
+    # a failure in one unit leaves the other as it was
+    work = store.unit_of_work([ITEMS, OTHER])
+    work.stage(Write("upsert", {"k": "q"})), work.stage(Write("insert", {"k": "b"}, unit="other"))
+    with pytest.raises(BatchError):
+        work.commit()
+    assert store.session(ITEMS).read(k="q") is None
+    with pytest.raises(Refused, match="BATCH-004"):
+        store.unit_of_work([ITEMS, ITEMS])
+    with pytest.raises(Refused, match="BATCH-006"):
+        store.unit_of_work(LOG, Access.to("a")).stage(Write("insert", {"trace": "x"}))
+
+
+def test_undecided_states_do_not_count(store, monkeypatch):
+    """A unit of work that stops before its decision is not seen, holds writers up for a while, and is then undone as a whole."""
+    monkeypatch.setattr("quern.sources.store.PATIENCE_S", 0.2)
+    store.create(ITEMS), store.create(OTHER)
+
+    def staged():
+        work = store.unit_of_work([ITEMS, OTHER])
+        work.stage(Write("insert", {"k": "a", "v": 1})), work.stage(Write("insert", {"k": "a"}, unit="other"))
+        return work
+
+    stopped, create = staged(), store.files.create
+    monkeypatch.setattr(store.files, "create", lambda path, text: (_ for _ in ()).throw(OSError()) if "_decisions" in path else create(path, text))
+    with pytest.raises(OSError):
+        stopped.commit()
+    monkeypatch.undo()
+    monkeypatch.setattr("quern.sources.store.PATIENCE_S", 0.2)
+    assert store.session(ITEMS).read(k="a") is None and store.session(OTHER).df().isEmpty()
+    assert store.session(ITEMS).insert({"k": "b"}) == "Inserted"
+    assert store.session(OTHER).df().isEmpty() and [r.k for r in store.session(ITEMS).df().collect()] == ["b"]
+    # decided against between its manifests and its decision: it is made again on the newest states
+    late, calls = staged(), []
+
+    def first_loses(path, text):
+        if "_decisions" in path and not calls:
+            calls.append(path)
+            create(path, "abandoned")
+        return create(path, text)
+
+    monkeypatch.setattr(store.files, "create", first_loses)
+    assert late.commit()["Inserted"] == 2 and store.commands["conflicts"] == 1
+    assert {r.k for r in store.session(ITEMS).df().collect()} == {"a", "b"} and store.session(OTHER).read(k="a") is not None
+
+
 def test_appends_replay(store):
     store.create(ITEMS)
     s = store.session(ITEMS)
