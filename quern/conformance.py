@@ -465,6 +465,38 @@ def failed_batch(spark, sf_dir):
     return cases(spark, {"commit": work.commit, "stage after it": lambda: work.stage(w), "the same write twice": lambda: other.stage(w), "rows": lambda: str(s.df().count())})
 
 
+@query(
+    "SELECT 'customer' AS unit, c_custkey AS id FROM customer UNION ALL SELECT 'customer', -1 UNION ALL SELECT 'nation', n_nationkey FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 'nation', -1"
+)
+def units_together(spark, sf_dir):
+    """One unit of work over two units: what succeeds counts in both, what fails in one counts in neither."""
+    store, customers = _filled(spark, sf_dir, CUSTOMER)
+    store.create(NATION)
+    nations = store.session(NATION)
+    nations.insert_all(load(spark, sf_dir, NATION))
+    work, failing = store.unit_of_work([CUSTOMER, NATION]), store.unit_of_work([CUSTOMER, NATION])
+    for w in (Write("insert", {"c_custkey": -1, "c_name": "new"}), Write("insert", {"n_nationkey": -1, "n_name": "new"}, unit="nation"), Write("delete", {"n_nationkey": 3}, unit="nation")):
+        work.stage(w)
+    work.commit()
+    for w in (Write("insert", {"c_custkey": -2, "c_name": "lost"}), Write("update", {"n_nationkey": -9, "n_name": "none"}, unit="nation")):
+        failing.stage(w)
+    told(failing.commit)
+    return customers.df().select(F.lit("customer").alias("unit"), F.col("c_custkey").cast("long").alias("id")).unionAll(nations.df().select(F.lit("nation"), F.col("n_nationkey").cast("long")))
+
+
+@query("SELECT * FROM (VALUES ('flushed before the commit', 4), ('held by the driver', 1), ('seen by others', 0), ('applied', 4), ('superseded', 1), ('new rows', 4)) t(what, n)")
+def flush_at_cap(spark, sf_dir):
+    """Five writes under a cap of two: two flushes, and one write is left for the commit; nobody sees any before it."""
+    store, s = _filled(spark, sf_dir, CUSTOMER)
+    work, new = store.unit_of_work(CUSTOMER, max_rows=2), F.col("c_custkey") < 0
+    for k, name in ((-1, "a"), (-1, "b"), (-2, "c"), (-3, "d"), (-4, "e")):
+        work.stage(Write("upsert", {"c_custkey": k, "c_name": name}))
+    found = {"flushed before the commit": work.total - len(work.staged), "held by the driver": len(work.staged), "seen by others": s.df().where(new).count()}
+    out = work.commit()
+    found |= {"applied": out["applied"], "superseded": out["superseded"], "new rows": s.df().where(new).count()}
+    return spark.createDataFrame(list(found.items()), "what string, n int")
+
+
 @query("SELECT * FROM (VALUES ('appends', 1), ('batches', 2)) t(what, n)")
 def write_observer(spark, sf_dir):
     """Commands that the store ran: one append, and one batch for each of two upserts, whatever their rows."""
