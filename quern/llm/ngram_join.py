@@ -18,6 +18,7 @@ exact for shingles held as 64-bit hashes.
    connected have one answer; of a long list's remaining pairs only those between different answers
    are derived, a block of the list against another, and verified. No pair within one answer is ever built.
 4. Every pair passes a parity bitmap (an upper bound of the overlap) and is verified on full sets.
+5. Numbers of links, if asked for: within a component, from each set's differences from a similar one (link_counts).
 
 Edges: null or word-less text is an empty set and links with nothing; fewer than k words make one
 shingle of the whole sequence; a null doc_id takes no part and is its own null component; rows
@@ -40,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import components, forget, stored
+from quern.llm.link_counts import partners
 from quern.llm.packed import batches_of, buckets, dealt, digest_of, home_of, join_arrays, one_home, split_arrays, texts
 from quern.llm.text import mixed, windows, word_hashes
 
@@ -429,11 +431,11 @@ def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     )
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): n_links counts the verified links of the document's class.
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, count_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id), and n_links if count_links: with how many other rows that have a doc_id the row's set links.
 
-    Verified links are those that decide the components: pairs between highly similar sets that share
-    an answer already are skipped, and copies are one class.
+    n_links counts every link, copies included: two rows link when their sets are similar enough, and
+    a row does not link with itself. Without words or a doc_id it is 0.
     """
     spark = docs.sparkSession
     num, den, n_buckets = percent, 100, buckets(spark)
@@ -459,7 +461,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = walked.where("list is null").select("a1", "a2", "b1", "b2").distinct()
     links = stored(_links(pairs, sets, bitmaps, num, den), "links")
     # nodes of the graph are documents: a class is its smallest
-    classes = stored(rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
+    classes = stored(rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("w")), "classes")
 
     def named(df: DataFrame) -> DataFrame:
         end = lambda s: classes.select(F.col("d1").alias(s + "1"), F.col("d2").alias(s + "2"), F.col("node").alias(s))
@@ -500,9 +502,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         every = every.unionAll(more)
         edges = stored(edges.unionAll(named(more)), "all-edges")
         found = components(edges)
-    n_links = named(every).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    by_class = stored(classes.join(found, "node", "left").join(n_links, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "by-class")
-    out = rows.join(by_class, ["d1", "d2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    placed = stored(classes.join(found, "node", "left").select("d1", "d2", "w", F.coalesce("component", "node").alias("component")), "by-class")
+    out = rows.join(placed, ["d1", "d2"], "left")
+    worded = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    columns = ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(worded, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    if count_links:
+        others = partners(every, placed, sets, num, den).withColumnRenamed("n", "others")
+        out = out.join(others, ["d1", "d2"], "left")
+        columns.append(F.when(worded, F.coalesce("others", F.lit(0)) + F.col("w") - 1).otherwise(0).cast("long").alias("n_links"))
+    out = out.select(*columns)
     for used in (sets, walked, bitmaps, lists):
         forget(used)
     return out

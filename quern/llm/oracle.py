@@ -64,6 +64,8 @@ pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b
 link AS (SELECT x, y FROM pair JOIN size a ON x = a.doc_id JOIN size b ON y = b.doc_id WHERE 100 * c >= 80 * (a.n + b.n - c)),
 edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach(node, low) AS (SELECT doc_id, doc_id FROM d UNION SELECT y, low FROM reach JOIN edge ON node = x),
-least_ AS (SELECT node, min(low) AS low FROM reach GROUP BY node)
-SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, low AS component_id FROM d LEFT JOIN size USING (doc_id) JOIN least_ ON node = d.doc_id
+least_ AS (SELECT node, min(low) AS low FROM reach GROUP BY node),
+many AS (SELECT x AS doc_id, count(*) AS links FROM edge GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, low AS component_id, coalesce(links, 0)::BIGINT AS n_links
+FROM d LEFT JOIN size USING (doc_id) LEFT JOIN many USING (doc_id) JOIN least_ ON node = d.doc_id
 """

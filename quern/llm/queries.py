@@ -76,7 +76,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.ngram_join import similar_documents
 
-    return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return similar_documents(table(spark, sf_dir, "documents"), count_links=True)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

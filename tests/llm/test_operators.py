@@ -305,16 +305,30 @@ def brute_components(docs):
     return [(i, len(s), find(i) if i is not None and s else i) for i, s in sets]
 
 
+def brute_links(docs):
+    """For each row the number of other rows its set links with."""
+    sets = [(i, shingle_set(t)) for i, t in docs]
+    n = [0] * len(sets)
+    for (x, (i, a)), (y, (j, b)) in itertools.combinations(enumerate(sets), 2):
+        if i is not None and j is not None and a and b and 100 * len(a & b) >= 80 * len(a | b):
+            n[x] += 1
+            n[y] += 1
+    return [(*c, m) for c, m in zip(brute_components(docs), n, strict=True)]
+
+
 def test_jaccard(spark, place):
     docs = docs_of(spark, place)
-    same(QUERIES["op8_ngram_join"](spark, place).select("doc_id", "n_shingles", "component_id").collect(), brute_components(docs))
+    same(QUERIES["op8_ngram_join"](spark, place).select("doc_id", "n_shingles", "component_id", "n_links").collect(), brute_links(docs))
 
 
 def test_jaccard_dense_groups(spark, monkeypatch):
     import random
 
+    import quern.llm.link_counts as counts
     import quern.llm.ngram_join as join
 
+    monkeypatch.setattr(counts, "BLOCK", 8)
+    monkeypatch.setattr(counts, "WIDTH", 16)
     monkeypatch.setattr(join, "LIST_BLOCK", 8)
     monkeypatch.setattr(join, "SHORT_LIST", 2)
     monkeypatch.setattr(join, "FOREST_ROUNDS", 1)
@@ -333,8 +347,8 @@ def test_jaccard_dense_groups(spark, monkeypatch):
     docs = list(enumerate(d + ("\n" + line if i % 2 else "") for i, d in enumerate(docs)))
     want = brute_components(docs)
     assert len({c for _, _, c in want}) < len(docs) - 20
-    found = join.similar_documents(spark.createDataFrame(docs, "doc_id long, text string"))
-    same(found.select("doc_id", "n_shingles", "component_id").collect(), want)
+    found = join.similar_documents(spark.createDataFrame(docs, "doc_id long, text string"), count_links=True)
+    same(found.select("doc_id", "n_shingles", "component_id", "n_links").collect(), brute_links(docs))
     kept = join.one_of_each(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in want}
 
