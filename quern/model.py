@@ -19,6 +19,8 @@ from quern.errors import Refusal, Refused, refuse
 #: Names with this prefix belong to the engine.
 RESERVED = "__quern_"
 SCOPE, VERSION, BUCKET = RESERVED + "scope", RESERVED + "version", RESERVED + "bucket"
+#: Where a row stands in its files, on frames that carry it.
+PLACE = RESERVED + "place"
 
 
 class Kind(str, enum.Enum):

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.errors import Refusal, Refused, refuse
-from quern.model import ORDERABLE, RESERVED, SCOPE, Access, Constant, Kind, Unit
+from quern.model import ORDERABLE, PLACE, RESERVED, SCOPE, Access, Constant, Kind, Unit
 from quern.plans.compile import literal, order_key, to_column
 from quern.predicates import TRUE, And, ElementOf, In, Not, Or, Predicate, StartsWith, canonical, validate
 
@@ -59,6 +59,8 @@ class SetUnion:
 
 @dataclass(frozen=True)
 class FirstBy:
+    """The value of the first row in an order; ties go by the key, and rows that repeat a key by their place, on frames that carry it."""
+
     alias: str
     column: str
     order_column: str
@@ -245,7 +247,7 @@ def _group_columns(q: AggregateQuery, profile: Profile) -> list[C]:
     return out
 
 
-def _reducer(a, unit: Unit) -> list[C]:
+def _reducer(a, unit: Unit, place: Sequence[C] = ()) -> list[C]:
     if isinstance(a, Count):
         return [F.count(F.lit(1)).alias(a.alias)]
     column = unit.column(a.column)
@@ -262,7 +264,7 @@ def _reducer(a, unit: Unit) -> list[C]:
         values = F.collect_set(c)
         return [(F.array_sort(values) if column.plain_text else F.array_sort(values, sort)).alias(a.alias), F.size(values).alias(SET_SIZE + a.alias)]
     by = unit.column(a.order_column)
-    keys = [order_key(unit.column(k)) for k in unit.key]
+    keys = [*(order_key(unit.column(k)) for k in unit.key), *place]
     first = order_key(by)
     if a.descending:
         if by.kind in (Kind.INT32, Kind.INT64, Kind.DECIMAL):
@@ -275,13 +277,13 @@ def _reducer(a, unit: Unit) -> list[C]:
     return [F.min_by(c, F.struct(first.alias("o"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))).alias(a.alias)]
 
 
-def _windowed(df: DataFrame, profile: Profile, unit: Unit, groups: Sequence[C]) -> tuple[DataFrame, list[C]]:
+def _windowed(df: DataFrame, profile: Profile, unit: Unit, groups: Sequence[C], place: Sequence[C]) -> tuple[DataFrame, list[C]]:
     """First-by in descending order of text or guids: rank in the group, then take the first."""
     out = []
     for a in profile.aggregates:
         if isinstance(a, FirstBy) and not _reducer(a, unit):
             rank = RESERVED + "rank_" + a.alias
-            by = W.partitionBy(*groups).orderBy(order_key(unit.column(a.order_column)).desc(), *(order_key(unit.column(k)).asc() for k in unit.key))
+            by = W.partitionBy(*groups).orderBy(order_key(unit.column(a.order_column)).desc(), *(order_key(unit.column(k)).asc() for k in unit.key), *place)
             df = df.withColumn(rank, F.row_number().over(by))
             out.append(F.min_by(F.when(F.col(rank) == 1, F.col(f"`{a.column}`")), F.col(rank)).alias(a.alias))
     return df, out
@@ -291,8 +293,9 @@ def _grouped(df: DataFrame, q: AggregateQuery, profile: Profile, unit: Unit, acc
     source = _source(df, q, profile, unit, access)
     groups = _group_columns(q, profile)
     plain = [F.col(f"`{g}`") if isinstance(g, str) else c for g, c in zip(profile.groups, groups, strict=True)]
-    source, ranked = _windowed(source, profile, unit, plain)
-    reducers = [c for a in profile.aggregates for c in _reducer(a, unit)] + ranked
+    place = [F.col(PLACE)] if PLACE in source.columns else []
+    source, ranked = _windowed(source, profile, unit, plain, place)
+    reducers = [c for a in profile.aggregates for c in _reducer(a, unit, place)] + ranked
     return source.groupBy(*groups).agg(*reducers, F.count(F.lit(1)).alias(ROWS))
 
 

@@ -18,7 +18,7 @@ from quern.plans.compile import Order
 from quern.plans.query import Latest, Page, Query
 from quern.predicates import And, Compare, Not, Or, StartsWith, Substring, among, between, element_of, eq
 from quern.session import work_folder
-from quern.sources.files import conform
+from quern.sources.files import conform, placed
 from quern.sources.store import Store, UnitOfWork, Write
 
 UTC = dt.timezone.utc
@@ -107,9 +107,11 @@ PART = Unit(
 )
 
 
-def load(spark: SparkSession, sf_dir: str, unit: Unit) -> DataFrame:
+def load(spark: SparkSession, sf_dir: str, unit: Unit, place: bool = False) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf_dir}/{unit.name.removeprefix('scoped_')}.parquet")
+    if place:
+        df = placed(df)
     if unit is PART:
         df = df.withColumn("words", F.split("p_type", " "))
     if unit is SCOPED_CUSTOMER:
@@ -309,7 +311,7 @@ def scoped_query(spark, sf_dir):
 
 
 def reduced(spark: SparkSession, sf_dir: str, unit: Unit, q: AggregateQuery) -> DataFrame:
-    return shown(agg.plan(load(spark, sf_dir, unit), unit, unit.profile(q.profile), q))
+    return shown(agg.plan(load(spark, sf_dir, unit, place=True), unit, unit.profile(q.profile), q))
 
 
 @query("SELECT event_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, cast(min(cast(value AS decimal(18,4))) AS double) AS low, cast(max(cast(value AS decimal(18,4))) AS double) AS high FROM events GROUP BY event_type")

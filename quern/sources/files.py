@@ -8,7 +8,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.model import SCOPE, VERSION, Kind, Unit
+from quern.model import PLACE, SCOPE, VERSION, Kind, Unit
 
 
 class Files:
@@ -61,8 +61,13 @@ class Files:
         fs.delete(p, True)
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """Rows read from Parquet files with their place: the file, by its path, then the row in it."""
+    return df.withColumn(PLACE, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+
+
 def conform(df: DataFrame, unit: Unit, scope: str | None = None) -> DataFrame:
-    """Any frame as a unit's rows: declared types (doubles become exact decimals, times without zone are UTC), engine columns added."""
+    """Any frame as a unit's rows: declared types (doubles become exact decimals, times without zone are UTC), engine columns added; a place is kept."""
     have = {c.lower() for c in df.columns}
     out = []
     for c in unit.columns:
@@ -74,6 +79,7 @@ def conform(df: DataFrame, unit: Unit, scope: str | None = None) -> DataFrame:
             out.append(F.col(f"`{c.name}`").cast(c.spark_type()).alias(c.name))
     out += [F.col(f"`{e.name}`") for e in unit.element_sets if e.name.lower() in have]
     out += [(F.col(SCOPE) if SCOPE in df.columns else F.lit(scope).cast("string")).alias(SCOPE), F.lit(1).cast("long").alias(VERSION)]
+    out += [F.col(PLACE)] if PLACE in df.columns else []
     return df.select(*out)
 
 

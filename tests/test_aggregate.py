@@ -68,6 +68,23 @@ def test_first_by_keeps_nulls_and_breaks_ties_by_key(frame):
     assert (row.x, row.y, row.z) == (2**31 - 1, None, -5)
 
 
+def test_first_by_of_repeated_keys_takes_the_first_row_of_the_file(spark, tmp_path):
+    """lineitem repeats its key; what SQL gives when it reads the file in order."""
+    import duckdb
+
+    from quern import queries
+
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute("CREATE TABLE t AS SELECT * REPLACE (l_orderkey // 50 AS l_orderkey) FROM '/root/testdata/sf0.001/lineitem.parquet'")
+    con.execute(f"COPY t TO '{tmp_path}/lineitem.parquet' (FORMAT parquet, ROW_GROUP_SIZE 2048)")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    assert con.sql("SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_partkey, l_orderkey, l_linenumber HAVING count(DISTINCT l_returnflag) > 1)").fetchall()[0][0] > 100
+    want = con.sql(queries.ORACLE["agg_first_by"]).fetchall()
+    got = queries.QUERIES["agg_first_by"](spark, str(tmp_path)).select("l_partkey", "last_flag", "first_flag").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_source_and_post_predicates(frame):
     q = AggregateQuery("summary", between(UNIT.column("i"), 0), having=(Having("sum_i", "range", (0, 10)),))
     assert [r["group"] for r in run(frame, UNIT, SUMMARY, q).rows] == ["g2"]
