@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,12 +143,37 @@ def file_formats(spark, sf_dir):
     return shown(out)
 
 
+def _derby(spark: SparkSession, df: DataFrame, table: str) -> dict[str, str]:
+    """A small frame as a table of a read-only Derby database; access to it from every process of the session.
+
+    An embedded database opens in one process at a time unless it is read-only, and processes may share no disk: the
+    database is made in the driver and goes to the executors in a jar, which Derby opens by the class path.
+    """
+    folder, name, jvm = tempfile.mkdtemp(prefix="quern-"), f"q{uuid.uuid4().hex}", spark.sparkContext._jvm
+    driver, kinds = "org.apache.derby.jdbc.EmbeddedDriver", {"int": "INTEGER", "string": "VARCHAR(32672)"}
+    open_ = lambda more: jvm.org.apache.derby.jdbc.EmbeddedDriver().connect(f"jdbc:derby:{folder}/{name};{more}", jvm.java.util.Properties())
+    con = open_("create=true")
+    con.createStatement().executeUpdate(f"CREATE TABLE {table} (" + ", ".join(f'"{n}" {kinds[kind]}' for n, kind in df.dtypes) + ")")
+    put = con.prepareStatement(f"INSERT INTO {table} VALUES ({', '.join('?' * len(df.columns))})")
+    for r in df.collect():
+        for i, v in enumerate(r):
+            put.setObject(i + 1, v)
+        put.executeUpdate()
+    con.close()
+    try:
+        open_("shutdown=true")
+    except Py4JJavaError as e:  # how Derby says that it has closed the database
+        if e.java_exception.getSQLState() != "08006":
+            raise
+    spark.sql(f"ADD JAR '{shutil.make_archive(f'{folder}/{name}', 'zip', folder, name)}'")
+    return {"url": f"jdbc:derby:classpath:{name}", "dbtable": table, "driver": driver}
+
+
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (1, 3)")
 def jdbc_source(spark, sf_dir):
-    """A relational database read by its driver, with the filter pushed into it. The database here lives in the driver's process, so sessions are local."""
+    """A relational database read by its driver, with the filter pushed into it; the tasks that read it run on the executors."""
     unit = replace(NATION, name="nations")
-    access = {"url": f"jdbc:derby:memory:q{uuid.uuid4().hex};create=true", "dbtable": "nations", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
-    load(spark, sf_dir, NATION).select(*(x.name for x in NATION.columns)).coalesce(1).write.format("jdbc").options(**access).save()
+    access = _derby(spark, load(spark, sf_dir, NATION).select(*(x.name for x in NATION.columns)), "nations")
     found = files.read(spark, unit, "", "jdbc", **access)
     return plans.plan(found, Query(unit, among(unit.column("n_regionkey"), [1, 3]), columns=("n_nationkey", "n_name")))
 

@@ -41,6 +41,21 @@ def test_query(spark, db, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=str)
 
 
+def test_jdbc_source_on_executors():
+    """Where tasks run in other processes than the driver."""
+    code = f"""
+from quern import conformance
+from quern.session import session
+s = session("jdbc", **{{"spark.master": "local-cluster[2,1,1024]", "spark.ui.enabled": "false", "spark.executor.memory": "512m"}})
+try:
+    for _ in range(2):
+        assert sorted(r[0] for r in conformance.jdbc_source(s, "{SF}").collect()) == [n for n in range(25) if n % 5 in (1, 3)]
+finally:
+    s.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=300)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE) <= set(__spark_entry__.oracle_sql())
