@@ -5,7 +5,7 @@ their sets reaches the threshold; the answer is each document's connected compon
 exact for shingles held as 64-bit hashes.
 
 1. Relevance. A set with a partner shares at least threshold of its tokens with it. Every task sends
-   its distinct tokens (short hashes, five bytes each) to token buckets, which answer with those that
+   its distinct tokens (short hashes, four bytes each) to token buckets, which answer with those that
    occur in more than one document. A set in which fewer recur is skipped with all its tokens: most
    of a corpus ends here, and no list is ever built for it.
 2. Index lists. Of what is left, equal sets are one class. Tokens are ordered globally by a corpus
@@ -33,7 +33,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,12 @@ from quern.llm.link_counts import partners
 from quern.llm.packed import batches_of, buckets, dealt, digest_of, home_of, join_arrays, one_home, split_arrays, texts
 from quern.llm.text import mixed, windows, word_hashes
 
-#: Bits of a token in the relevance step. Equal short hashes of different tokens only keep a set.
+#: Bits of a token in the relevance step at most. Equal short hashes of different tokens only keep a set.
 SHORT_BITS, HOME_BITS = 44, 20
+#: Bits of it beside its bucket's; buckets grow with the input, so that as many tokens share them at every size.
+LOW_BITS = 31
+#: Bytes of short texts that are hashed together.
+GATHER = 1 << 16
 #: Tokens a task gathers before it sends them.
 CHUNK = 2_000_000
 SKETCH_BITS, SKETCH_PARTS = 20, 16
@@ -65,13 +69,41 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     return np.unique(windows(words, min(k, len(words)), seed=min(k, len(words))))
 
 
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return ordered[new]
+
+
+def _together(held: list[tuple], k: int) -> Iterator[tuple]:
+    words, starts, _ = word_hashes(b" ".join(x[1] for x in held), fold=True)
+    runs, at = windows(words, k, seed=k), 0
+    for (key, _), to in zip(held, np.searchsorted(starts, np.cumsum([len(x[1]) + 1 for x in held])).tolist(), strict=True):
+        n = to - at
+        yield key, _distinct(np.sort(runs[at : to - k + 1] if n >= k else windows(words[at:to], n, seed=n) if n else words[:0]))
+        at = to
+
+
+def shingle_sets(rows: Iterable[tuple], k: int) -> Iterator[tuple]:
+    """(key, shingles) of (key, text) rows, in their order; runs of words that cross texts are left out."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1])
+        if size >= GATHER:
+            yield from _together(held, k)
+            held, size = [], 0
+    if held:
+        yield from _together(held, k)
+
+
 def needed(n: np.ndarray | int, num: int, den: int) -> np.ndarray | int:
     """The least overlap of a set of n with any partner: ceil(threshold * n)."""
     return -(-n * num // den)
 
 
-def _short(tokens: np.ndarray) -> np.ndarray:
-    return tokens >> np.uint64(64 - SHORT_BITS)
+def _short(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return tokens >> np.uint64(64 - _short_bits(bits))
 
 
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -84,10 +116,14 @@ def _bucket_bits(n_buckets: int) -> int:
     return min(HOME_BITS, max(5, (n_buckets - 1).bit_length()))
 
 
+def _short_bits(bits: int) -> int:
+    return min(SHORT_BITS, LOW_BITS + bits)
+
+
 def _send(k: int, n_homes: int, bits: int):
-    """Rows of a bucket: short tokens without their leading bits, by the home of their document; five bytes a token."""
+    """Rows of a bucket: short tokens without their leading bits, by the home of their document; four bytes a token."""
     schema = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
-    low_bits = SHORT_BITS - bits
+    low_bits = _short_bits(bits) - bits
     low_mask = np.uint64((1 << low_bits) - 1)
 
     def flush(held: list[np.ndarray]) -> Iterator[tuple]:
@@ -101,14 +137,13 @@ def _send(k: int, n_homes: int, bits: int):
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True):
             run = np.flatnonzero(np.append(True, home[a + 1 : b] != home[a : b - 1]))
-            yield int(bucket[a]), join_arrays(home[a:b][run].astype("<u4"), np.diff(np.append(run, b - a)).astype("<u4"), value[a:b].astype("<u4"), (value[a:b] >> np.uint64(32)).astype("u1"))
+            yield int(bucket[a]), join_arrays(home[a:b][run].astype("<u4"), np.diff(np.append(run, b - a)).astype("<u4"), value[a:b].astype("<u4"))
 
     def rows(batches) -> Iterator[tuple]:
         held, n = [], 0
-        for doc_id, text in texts(batches):
-            if doc_id is None:
-                continue
-            got = np.unique(_short(shingles(text, k)))
+        known = (((doc_id, text), text) for doc_id, text in texts(batches) if doc_id is not None)
+        for (doc_id, text), tokens in shingle_sets(known, k):
+            got = _distinct(_short(tokens, bits))
             home = np.uint64(one_home(doc_id, digest_of(text), n_homes))
             held.append(((got >> np.uint64(low_bits)) << np.uint64(low_bits + HOME_BITS)) | (home << np.uint64(low_bits)) | (got & low_mask))
             n += len(got)
@@ -124,15 +159,15 @@ def _send(k: int, n_homes: int, bits: int):
 def _recurring(bits: int):
     """Of whole buckets: for each home the tokens that occur in more than one document."""
     schema = pa.schema([("home", pa.int32()), ("payload", pa.binary())])
-    low_bits, home_bits, home_mask = SHORT_BITS - bits, np.uint64(HOME_BITS), np.uint64((1 << HOME_BITS) - 1)
+    short_bits, home_bits, home_mask = _short_bits(bits), np.uint64(HOME_BITS), np.uint64((1 << HOME_BITS) - 1)
 
     def rows(batches) -> Iterator[tuple]:
         pieces = []
         for batch in batches:
             for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                home, count, low, high = split_arrays(payload, "<u4", "<u4", "<u4", "u1")
-                value = low | (high.astype(np.uint64) << np.uint64(32))
-                key = (((np.uint64(bucket) << np.uint64(low_bits)) | (value >> np.uint64(1))) << home_bits) | np.repeat(home, count)
+                home, count, value = split_arrays(payload, "<u4", "<u4", "<u4")
+                value = value.astype(np.uint64)
+                key = (((np.uint64(bucket) << np.uint64(short_bits - bits)) | (value >> np.uint64(1))) << home_bits) | np.repeat(home, count)
                 pieces.append(key)
                 pieces.append(key[(value & np.uint64(1)) == 1])  # twice: it recurs already
         if not pieces:
@@ -142,11 +177,11 @@ def _recurring(bits: int):
         token = key >> home_bits
         same = token[1:] == token[:-1]
         key = key[np.append(same, False) | np.append(False, same)]
-        key = np.sort(((key & home_mask) << np.uint64(SHORT_BITS)) | (key >> home_bits))
-        home = (key >> np.uint64(SHORT_BITS)).astype(np.int64)
+        key = np.sort(((key & home_mask) << np.uint64(short_bits)) | (key >> home_bits))
+        home = (key >> np.uint64(short_bits)).astype(np.int64)
         cut = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(key) else np.empty(0, np.int64)
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=False):
-            yield int(home[a]), np.unique(key[a:b] & np.uint64((1 << SHORT_BITS) - 1)).tobytes()
+            yield int(home[a]), np.unique(key[a:b] & np.uint64((1 << short_bits) - 1)).tobytes()
 
     return lambda batches: batches_of(rows(batches), schema)
 
@@ -162,7 +197,7 @@ def _parity(tokens: np.ndarray) -> bytes:
     return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
-def _judge(k: int, num: int, den: int):
+def _judge(k: int, num: int, den: int, bits: int):
     """Rows of a home: recurring tokens first, then texts. Out: a row for each document, for each set that may have a partner, and the sketch of those."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())])
 
@@ -170,30 +205,34 @@ def _judge(k: int, num: int, den: int):
         pieces, known, seen = [], None, set()
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         counted, n = [], 0
-        for batch in batches:
-            kinds, ids, payloads = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4)
-            column = batch.column(3).cast(pa.large_binary())
-            for i, kind in enumerate(kinds):
-                if kind == 0:
-                    pieces.append(np.frombuffer(payloads[i].as_py(), np.uint64))
-                    continue
-                if known is None:
-                    known = np.unique(np.concatenate(pieces)) if pieces else np.empty(0, np.uint64)
-                    pieces = []
-                tokens = shingles(column[i].as_py() or b"", k)
-                d1, d2 = _digest(tokens)
-                yield ids[i], len(tokens), d1, d2, -1, None
-                if not len(tokens) or (d1, d2) in seen or ids[i] is None or not len(known):
-                    continue
-                short = _short(tokens)
-                found = known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short
-                if int(found.sum()) >= needed(len(tokens), num, den):
-                    seen.add((d1, d2))
-                    counted.append((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
-                    if (n := n + len(tokens)) >= CHUNK:
-                        sketch += np.bincount(np.concatenate(counted), minlength=len(sketch)).astype(np.uint32)
-                        counted, n = [], 0
-                    yield None, len(tokens), d1, d2, -2, tokens.tobytes()
+
+        def documents() -> Iterator[tuple]:
+            for batch in batches:
+                kinds, ids, payloads = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4)
+                column = batch.column(3).cast(pa.large_binary())
+                for i, kind in enumerate(kinds):
+                    if kind == 0:
+                        pieces.append(np.frombuffer(payloads[i].as_py(), np.uint64))
+                    else:
+                        yield ids[i], column[i].as_py() or b""
+
+        for doc_id, tokens in shingle_sets(documents(), k):
+            if known is None:
+                known = np.unique(np.concatenate(pieces)) if pieces else np.empty(0, np.uint64)
+                pieces.clear()
+            d1, d2 = _digest(tokens)
+            yield doc_id, len(tokens), d1, d2, -1, None
+            if not len(tokens) or (d1, d2) in seen or doc_id is None or not len(known):
+                continue
+            short = _short(tokens, bits)
+            found = known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short
+            if int(found.sum()) >= needed(len(tokens), num, den):
+                seen.add((d1, d2))
+                counted.append((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
+                if (n := n + len(tokens)) >= CHUNK:
+                    sketch += np.bincount(np.concatenate(counted), minlength=len(sketch)).astype(np.uint32)
+                    counted, n = [], 0
+                yield None, len(tokens), d1, d2, -2, tokens.tobytes()
         if seen:
             if counted:
                 sketch += np.bincount(np.concatenate(counted), minlength=len(sketch)).astype(np.uint32)
@@ -446,7 +485,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     both = answers.select("home", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "payload").unionAll(
         docs.select(home_of(F.col("doc_id"), F.col("text"), n_homes).alias("home"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("payload"))
     )
-    judged = stored(dealt(both, "home").sortWithinPartitions("kind").mapInArrow(_judge(k, num, den), _KEPT), "judged")
+    judged = stored(dealt(both, "home").sortWithinPartitions("kind").mapInArrow(_judge(k, num, den, bits), _KEPT), "judged")
     rows = stored(judged.where("part = -1").select("doc_id", "n", "d1", "d2"), "documents")
     sets = stored(judged.where("part = -2").select("d1", "d2", "n", "payload").dropDuplicates(["d1", "d2"]), "sets")
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)

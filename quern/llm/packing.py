@@ -21,12 +21,15 @@ residual takes the piece. Only the named columns are read, whatever else a table
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import stored
+from quern.llm.text import word_counts
 
 CAPACITY, SHARD_ROWS = 2048, 8192
 
@@ -36,6 +39,24 @@ def n_words(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
+def with_n_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with n_words in the place of the text."""
+    kept = [c for c in docs.columns if c != text_col]
+    schema = docs.select(*kept, F.lit(0).cast("long").alias("n_words")).schema
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                text = part.column(len(kept)).cast(pa.large_binary()).fill_null(b"")
+                _, ends, data = text.buffers()
+                ends = np.frombuffer(ends, np.int64)[text.offset : text.offset + len(text) + 1]
+                n = word_counts(np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(n, pa.int64())], names=[*kept, "n_words"])
+
+    return docs.select(*kept, text_col).mapInArrow(count, schema)
+
+
 def best_fit(pieces: list[tuple[int, object, object]], capacity: int) -> tuple[list[int], list[int], int]:
     """Bins of (length, source, cluster) pieces, in their order: (bin of each piece, words of each bin, steps)."""
     twice = defaultdict(int)

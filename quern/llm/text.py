@@ -85,6 +85,16 @@ def word_hashes(text: bytes, fold: bool = False) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def word_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Words of each of the texts that lie one behind another in data; at: where they start, then the end."""
+    word = ~_SPACE[data]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    start = at[:-1][at[:-1] < at[1:]]
+    first[start] = word[start]
+    return np.diff(np.searchsorted(np.flatnonzero(first), at))
+
+
 def windows(words: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     """Hashes of all runs of k consecutive words, by doubling: log2(k) passes."""
     if len(words) < k:

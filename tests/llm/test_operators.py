@@ -517,3 +517,39 @@ def test_pipeline(spark, folders):
         assert got[i].text == "".join(out) + t[at:]
         assert sum(b.n_words for b in got[i].bins) == len(SPACED.findall(got[i].text))
     assert F is not None
+
+
+def test_shingles_of_texts_hashed_together():
+    from quern.llm.ngram_join import shingle_sets, shingles
+
+    draw = np.random.default_rng(5)
+    texts = [b"", b" ", b"one", b"a b c d", b"A b\x0bC d e", b"a b c d e f", "é ü 中 x y z".encode(), b"w " * 90_000]
+    texts += [b" ".join(b"w%d" % x for x in draw.integers(0, 50, n)) + b"\n" * (n % 3) for n in draw.integers(0, 2000, 60)]
+    for k in (1, 5):
+        got = list(shingle_sets(enumerate(texts), k))
+        assert [key for key, _ in got] == list(range(len(texts)))
+        assert all(np.array_equal(tokens, shingles(text, k)) for (_, tokens), text in zip(got, texts, strict=True))
+
+
+def test_relevance_sends_four_bytes_a_token():
+    import pyarrow as pa
+
+    from quern.llm.ngram_join import _recurring, _send
+
+    text = " ".join(str(x) for x in range(20_000))
+    sent = list(_send(5, 1, 5)([pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": [text, text + " more", "other words " + text[:5000]]})]))
+    n = 20_000 - 4 + 1 + 2
+    assert sum(len(x) for batch in sent for x in batch.column(1).to_pylist()) < 4.1 * n
+    (home, known), *more = [x for batch in _recurring(5)(sent) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    assert home == 0 and not more and len(known) // 8 == 20_000 - 4
+
+
+def test_word_counts_of_whole_texts(spark):
+    from quern.llm.packing import n_words, with_n_words
+
+    texts = [None, "", " ", "a", " a\tb\n", "a\x0bb\x0cc\rd", " x y", "é 中\U0001f600 z", None, "word " * 3000, "x" * 70_000, "last"] * 60
+    docs = spark.createDataFrame([(i if i % 7 else None, t, str(i % 3)) for i, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(1)
+    want = docs.select("doc_id", "source", n_words(F.col("text")).alias("n_words"))
+    got = with_n_words(docs)
+    assert got.dtypes == want.dtypes and got.collect() == want.collect()
+    assert with_n_words(docs.limit(0)).collect() == []
