@@ -1,11 +1,13 @@
-"""Adaptive context-mixing range coder for token ids, many independent blocks in step.
+"""Adaptive context-mixing range coder for token ids: blocks on their own, many lanes of a block in step.
 
 Each block starts from the same fixed state, so it decodes alone; its ids' CRC-32 is kept beside it.
-For every id three predictions are mixed by adaptive weights: the id that last followed the two
-before it (order 2), the id that last followed the one before it (order 1), and the block's
-adaptive counts of high bytes and of low bytes for each high byte (order 0). The weights of the first two depend on how
-often their context was right so far. The mixture drives a carry-less range coder of 48 bits
-with 16-bit output words. numpy works on one id of every block at a time.
+A block is cut into lanes of consecutive ids, and numpy works on one id of every lane at a time. All
+lanes of a block share one adaptive model, which fits the processor's cache and learns from all of them.
+For every id four predictions are mixed: the id that last followed the two before it (order 2), the id
+that last followed the one before it (order 1), the block's counts of ids (order 0), and all ids alike
+for one that is new. How much each may say depends on how often both contexts were right so far, by
+counts of what came true; order 0 follows at the steps where _refreshed says. The mixture drives a
+range coder of 64 bits with 32-bit output words and carries, a range of its own for every lane.
 """
 
 from __future__ import annotations
@@ -15,253 +17,194 @@ import zlib
 import numpy as np
 
 LIMIT = 1 << 16  # ids are below
-_SCALE = 16
-_MASK, _LOW, _LEAST = np.uint64((1 << 48) - 1), np.uint64((1 << 32) - 1), np.uint64(1 << 18)
-#: The share left to order 0, 2**16 - 2 * _MOST at least, exceeds _HIGH_FULL + _STEP: no symbol gets an empty interval.
-_STEP, _FULL, _HIGH_FULL, _MOST = 24, 1 << 15, 1 << 13, 28_000
-_BITS1, _BITS2 = 12, 13
+#: Lanes of a block at most, and ids of a lane at least where there are several.
+LANES, LEAST = 2048, 256
+#: Bits of a prediction's weight, and of a count in the order-0 table.
+_WEIGHT, _COUNT = 12, 16
+_TOTAL = _WEIGHT + _COUNT
+_BITS2 = 17
+_WORD, _NARROW = np.uint64(32), np.uint64(1 << 32)
+_SHIFT, _MOST = np.uint64(_TOTAL), np.uint64((1 << _TOTAL) - 1)
+#: Steps between new weights, and between new order-0 tables once a block has run for as long.
+_REWEIGH, _RECOUNT = 16, 64
 
 
 class BadBlock(ValueError):
     """A block whose ids do not have its checksum."""
 
 
+def _refreshed(t: int) -> bool:
+    """Whether order 0 counts anew before step t: at each power of two, then every _RECOUNT steps."""
+    return t % _RECOUNT == 0 if t >= _RECOUNT else t & (t - 1) == 0
+
+
 class _Model:
-    """Adaptive state of n blocks."""
+    """Adaptive state of one block with n lanes."""
 
     def __init__(self, n: int, highs: int):
-        self.lane = np.arange(n)
-        self.t1, self.t2 = np.zeros(n << _BITS1, np.uint16), np.zeros(n << _BITS2, np.uint16)
-        self.c1, self.c2 = np.zeros(n << _BITS1, np.uint8), np.zeros(n << _BITS2, np.uint8)
-        self.w1, self.w2 = np.full((n, 4), 2000, np.int64).ravel(), np.full((n, 4), 4000, np.int64).ravel()
-        self.high, self.high_sum = np.ones((n, 16, 16), np.int32), np.full((n, 16), 16, np.int32)
-        self.high_all = np.full(n, 256, np.int64)
-        self.highs = highs
-        self.low, self.low_sum = np.ones((n * highs, 16, 16), np.uint16), np.full((n * highs, 16), 16, np.uint16)
-        self.low_all = np.full(n * highs, 256, np.int64)
+        self.size = highs << 8
+        self.t1, self.t2 = np.zeros(LIMIT, np.int64), np.zeros(1 << _BITS2, np.int64)  # id, and how often it was right above its 16 bits
         self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-
-    def predict(self, m: int):
-        """For the first m blocks: both predicted ids and their weights, out of 2**16."""
-        p1, p2 = self.p1[:m], self.p2[:m]
-        self.i1 = (self.lane[:m] << _BITS1) + ((p1 * 40503 >> 4) & ((1 << _BITS1) - 1))
-        self.i2 = (self.lane[:m] << _BITS2) + (((p1 * 40503) ^ (p2 * 30011)) >> 3 & ((1 << _BITS2) - 1))
-        a, b = self.t2[self.i2], self.t1[self.i1]
-        self.s2, self.s1 = (self.lane[:m] << 2) + self.c2[self.i2], (self.lane[:m] << 2) + self.c1[self.i1]
-        self.q2 = self.w2[self.s2]
-        self.q1 = np.where(a == b, 0, self.w1[self.s1])
-        return a, b
-
-    def update(self, m: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        right1 = self.t1[self.i1] == x
-        self.w2[self.s2] += (hit2 * (_MOST - 64) + 64 - self.q2) >> 5
-        self.w1[self.s1] += (right1 * (_MOST - 64) + 64 - self.w1[self.s1]) >> 5
-        for c, i, right in ((self.c2, self.i2, hit2), (self.c1, self.i1, right1)):
-            c[i] = np.where(right, np.minimum(c[i] + 1, 3), 0)
-        self.t2[self.i2] = x
-        self.t1[self.i1] = x
-        self.p2[:m] = self.p1[:m]
-        self.p1[:m] = x
-
-    def raise_high(self, at: np.ndarray, high: np.ndarray) -> None:
-        self.high[at, high >> 4, high & 15] += _STEP
-        self.high_sum[at, high >> 4] += _STEP
-        self.high_all[at] += _STEP
-        if (full := at[self.high_all[at] >= _HIGH_FULL]).size:
-            self.high[full] = (self.high[full] + 1) >> 1
-            self.high_sum[full] = self.high[full].sum(2)
-            self.high_all[full] = self.high_sum[full].sum(1)
-
-    def raise_low(self, row: np.ndarray, low: np.ndarray) -> None:
-        self.low[row, low >> 4, low & 15] += _STEP
-        self.low_sum[row, low >> 4] += _STEP
-        self.low_all[row] += _STEP
-        if (full := row[self.low_all[row] >= _FULL]).size:
-            self.low[full] = (self.low[full] + 1) >> 1
-            self.low_sum[full] = self.low[full].sum(2)
-            self.low_all[full] = self.low_sum[full].sum(1)
-
-
-_BELOW = {k: np.tril(np.ones((17, 16), k), -1)[:16] for k in (np.int32, np.uint16)}
-
-
-def _cumulative(counts, sums, row, symbol):
-    """(counts before symbol, its count). All sums of a row stay below 2**16."""
-    g, k = symbol >> 4, symbol & 15
-    inner = counts[row, g]
-    below = _BELOW[counts.dtype.type]
-    before = np.einsum("ij,ij->i", sums[row], below[g]).astype(np.int64) + np.einsum("ij,ij->i", inner, below[k])
-    return before, inner[np.arange(len(k)), k].astype(np.int64)
-
-
-def _found(counts, sums, row, value):
-    """The symbol whose counts hold value, with counts before it and its own."""
-    upto = np.cumsum(sums[row], 1, dtype=np.int32)
-    g = (upto <= value[:, None]).sum(1)
-    at = np.arange(len(g))
-    before = np.where(g > 0, upto[at, g - 1], 0).astype(np.int64)
-    inner = np.cumsum(counts[row, g], 1, dtype=np.int32)
-    k = (inner <= (value - before)[:, None]).sum(1)
-    under = np.where(k > 0, inner[at, k - 1], 0)
-    return g * 16 + k, before + under, (inner[at, k] - under).astype(np.int64)
-
-
-def _shift(low: np.ndarray, span: np.ndarray, m: int):
-    """Places among the first m blocks that have a word to move, with a span that no carry can leave."""
-    lo, sp = low[:m], span[:m]
-    same = ((lo ^ (lo + sp)) >> np.uint64(32)) == 0
-    small = ~same & (sp < _LEAST)
-    if small.any():
-        at = np.flatnonzero(small)
-        span[at] = (_LOW + np.uint64(1)) - (low[at] & _LOW)
-        same |= small
-    return np.flatnonzero(same)
-
-
-class _Encoder:
-    def __init__(self, n: int, length: int):
-        self.low, self.span = np.zeros(n, np.uint64), np.full(n, (1 << 48) - 1, np.uint64)
-        self.out, self.at = np.zeros((n, 3 * length + 8), np.uint16), np.zeros(n, np.int64)
-
-    def put(self, rows, start, size, total) -> None:
-        part = self.span[rows] // total.astype(np.uint64)
-        self.low[rows] += part * start.astype(np.uint64)
-        self.span[rows] = part * size.astype(np.uint64)
-
-    def flush(self, m: int) -> None:
-        while (at := _shift(self.low, self.span, m)).size:
-            self.out[at, self.at[at]] = ((self.low[at] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
-            self.at[at] += 1
-            self.low[at] = (self.low[at] << np.uint64(16)) & _MASK
-            self.span[at] = (self.span[at] << np.uint64(16)) & _MASK
-
-    def end(self) -> list[bytes]:
-        for _ in range(3):
-            every = np.arange(len(self.low))
-            self.out[every, self.at] = ((self.low >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
-            self.at += 1
-            self.low = (self.low << np.uint64(16)) & _MASK
-        return [self.out[i, : self.at[i]].astype("<u2").tobytes() for i in range(len(self.low))]
-
-
-class _Decoder:
-    def __init__(self, blocks: list[bytes]):
-        n = len(blocks)
-        self.words = np.zeros((n, max(map(len, blocks)) // 2 + 8), np.uint16)
-        for i, b in enumerate(blocks):
-            self.words[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-        self.low, self.span = np.zeros(n, np.uint64), np.full(n, (1 << 48) - 1, np.uint64)
-        first = self.words[:, :3].astype(np.uint64)
-        self.code, self.at = (first[:, 0] << np.uint64(32)) | (first[:, 1] << np.uint64(16)) | first[:, 2], np.full(n, 3)
-
-    def value(self, rows, total) -> np.ndarray:
-        self.part = self.span[rows] // total.astype(np.uint64)
-        return np.minimum((self.code[rows] - self.low[rows]) // self.part, total.astype(np.uint64) - np.uint64(1)).astype(np.int64)
-
-    def take(self, rows, start, size) -> None:
-        self.low[rows] += self.part * start.astype(np.uint64)
-        self.span[rows] = self.part * size.astype(np.uint64)
-
-    def flush(self, m: int) -> None:
-        while (at := _shift(self.low, self.span, m)).size:
-            self.code[at] = ((self.code[at] << np.uint64(16)) & _MASK) | self.words[at, np.minimum(self.at[at], self.words.shape[1] - 1)]
-            self.at[at] += 1
-            self.low[at] = (self.low[at] << np.uint64(16)) & _MASK
-            self.span[at] = (self.span[at] << np.uint64(16)) & _MASK
-
-
-_TOTAL = 1 << _SCALE
+        self.came = np.tile(np.array([4, 2, 8, 8], np.int64), 32)
+        self.counts = np.zeros(self.size, np.int64)
+        # entry `size` stands for an id that a context named: it needs no count
+        self.f, self.c = np.ones(self.size + 1, np.uint64), np.arange(self.size + 1, dtype=np.uint64)
+        self.f[-1], self.c[-1] = 1 << _COUNT, 0
+        self.kind = np.full(self.size, 3, np.int64)
+        self.slot = np.zeros(1 << _COUNT, np.int64)
+        self.reweigh()
+
+    def reweigh(self) -> None:
+        came = self.came.reshape(32, 4)
+        weight = 1 + came * ((1 << _WEIGHT) - 4) // came.sum(1)[:, None]
+        weight[:, 2] += (1 << _WEIGHT) - weight.sum(1)
+        before = np.cumsum(weight, 1) - weight
+        self.weight, self.before = weight.ravel().astype(np.uint64), (before.ravel() << _COUNT).astype(np.uint64)
+        self.event = None
+
+    def events(self) -> np.ndarray:
+        """What a value says, by context: the place of the prediction that came true."""
+        if self.event is None:
+            self.event = np.repeat(np.tile(np.arange(4), 32), self.weight.astype(np.int64))
+        return self.event
+
+    def recount(self, ids: np.ndarray) -> None:
+        """Take the ids since the last time into the order-0 table."""
+        if not ids.size:
+            return
+        self.counts += np.bincount(ids.ravel(), minlength=self.size)
+        seen = np.flatnonzero(self.counts)
+        held = self.counts[seen]
+        share = 1 + held * ((1 << _COUNT) - len(seen)) // held.sum()
+        share[held.argmax()] += (1 << _COUNT) - share.sum()
+        self.f[seen], self.c[seen], self.kind[seen] = share, np.cumsum(share) - share, 2
+        self.slot = np.repeat(seen, share)
+
+    def predict(self):
+        """The ids that both contexts name, and the place of the first of the four weights."""
+        self.i2 = (self.p1 * 40503 ^ self.p2 * 30011) & ((1 << _BITS2) - 1)
+        self.e2, self.e1 = self.t2.take(self.i2), self.t1.take(self.p1)
+        a, b = self.e2 & 0xFFFF, self.e1 & 0xFFFF
+        at = (self.e2 >> 16 << 4) + (self.e1 >> 16 << 2)
+        at += (a == b) * 64
+        return a, b, at
+
+    def update(self, x: np.ndarray, right2: np.ndarray, right1: np.ndarray, came: np.ndarray) -> None:
+        self.t2[self.i2] = x + (np.minimum((self.e2 >> 16) + 1, 3) * right2 << 16)
+        self.t1[self.p1] = x + (np.minimum((self.e1 >> 16) + 1, 3) * right1 << 16)
+        self.came += np.bincount(came, minlength=128)
+        self.p2, self.p1 = self.p1, x
+
+
+def _shape(n: int) -> tuple[int, int]:
+    """(steps, lanes) of a block of n ids; only the last lane may be short."""
+    steps = -(-n // min(LANES, max(1, n // LEAST)))
+    return steps, -(-n // steps)
+
+
+def _coded(ids: np.ndarray, highs: int) -> bytes:
+    steps, n = _shape(len(ids))
+    grid = np.zeros(steps * n, np.int64)
+    grid[: len(ids)] = ids
+    grid = np.ascontiguousarray(grid.reshape(n, steps).T)
+    model = _Model(n, highs)
+    low, span = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+    out, upto = np.zeros((n, steps + 2), np.uint32), np.zeros(n, np.int64)
+    fresh = 0
+    for t in range(steps):
+        if t and _refreshed(t):
+            model.recount(grid[fresh:t])
+            fresh = t
+        if t % _REWEIGH == 0:
+            model.reweigh()
+        x = grid[t]
+        a, b, at = model.predict()
+        right2, right1 = x == a, x == b
+        named = right2 | right1
+        at += np.where(named, ~right2, model.kind.take(x))
+        weight, of = model.weight.take(at), np.where(named, model.size, x)
+        part = span >> _SHIFT
+        add = part * (model.before.take(at) + model.c.take(of) * weight)
+        low += add
+        span = part * (model.f.take(of) * weight)
+        if (over := low < add).any():
+            lane = np.flatnonzero(over)
+            back = upto[lane] - 1
+            while lane.size:  # a carry goes back over words that are full
+                out[lane, back] += np.uint32(1)
+                go = out[lane, back] == 0
+                lane, back = lane[go], back[go] - 1
+        lane = np.flatnonzero(span < _NARROW)
+        out[lane, upto[lane]] = low[lane] >> _WORD
+        upto[lane] += 1
+        low[lane] <<= _WORD
+        span[lane] <<= _WORD
+        model.update(x, right2, right1, at)
+    every = np.arange(n)
+    out[every, upto], out[every, upto + 1] = low >> _WORD, low & np.uint64(0xFFFFFFFF)
+    upto += 2
+    return upto.astype("<u4").tobytes() + out[np.arange(steps + 2) < upto[:, None]].astype("<u4").tobytes()
+
+
+def _decoded(data: bytes, highs: int, total: int) -> np.ndarray:
+    steps, n = _shape(total)
+    words = np.frombuffer(data, "<u4") if len(data) % 4 == 0 else np.empty(0, "<u4")
+    held = words[:n].astype(np.int64)
+    if len(held) < n or held.sum() != len(words) - n or held.min() < 2 or held.max() > steps + 2:
+        raise BadBlock("its lanes do not have its length")
+    at = n + np.cumsum(held) - held
+    last, words = len(words) - 1, words.astype(np.uint64)
+    grid = np.zeros((steps, n), np.int64)
+    model = _Model(n, highs)
+    code, span = (words[at] << _WORD) | words[at + 1], np.full(n, (1 << 64) - 1, np.uint64)
+    at += 2
+    fresh = 0
+    for t in range(steps):
+        if t and _refreshed(t):
+            model.recount(grid[fresh:t])
+            fresh = t
+        if t % _REWEIGH == 0:
+            model.reweigh()
+        a, b, k = model.predict()
+        part = span >> _SHIFT
+        value = np.minimum(code // part, _MOST)
+        event = model.events().take((k << (_WEIGHT - 2)) + (value >> np.uint64(_COUNT)).astype(np.int64))
+        k += event
+        weight, before = model.weight.take(k), model.before.take(k)
+        inside = ((value - before) // weight).astype(np.int64)
+        named, right2 = event < 2, event == 0
+        x = np.where(named, np.where(right2, a, b), model.slot.take(inside))
+        if (new := np.flatnonzero(event == 3)).size:
+            x[new] = np.minimum(inside[new], model.size - 1)
+        of = np.where(named, model.size, x)
+        code -= part * (before + model.c.take(of) * weight)
+        span = part * (model.f.take(of) * weight)
+        lane = np.flatnonzero(span < _NARROW)
+        code[lane] = (code[lane] << _WORD) | words[np.minimum(at[lane], last)]
+        at[lane] += 1
+        span[lane] <<= _WORD
+        model.update(x, right2, x == b, k)
+        grid[t] = x
+    return grid.T.reshape(-1)[:total].astype(np.uint32)
 
 
 def encode(ids: np.ndarray, length: int) -> tuple[list[bytes], list[int], int]:
     """Blocks of `length` ids (the last may be shorter), their checksums, and how many high bytes the model knows."""
-    n = -(-len(ids) // length)
-    if not n:
+    if not len(ids):
         return [], [], 1
     if int(ids.max()) >= LIMIT:
         raise ValueError("ids are below 65536")
     highs = int(ids.max() >> 8) + 1
-    grid = np.zeros(n * length, np.int64)
-    grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(n, length).T)
-    last = len(ids) - (n - 1) * length
-    model, coder = _Model(n, highs), _Encoder(n, length)
-    for t in range(length):
-        m = n if t < last else n - 1
-        if not m:
-            break
-        x = grid[t, :m]
-        a, b = model.predict(m)
-        hit2 = x == a
-        hit1 = ~hit2 & (x == b)
-        rows = model.lane[:m]
-        rest = _TOTAL - model.q2 - model.q1
-        start = np.where(hit1, model.q2, 0)
-        size = np.where(hit2, model.q2, model.q1)
-        miss = np.flatnonzero(~(hit2 | hit1))
-        if miss.size:
-            high = x[miss] >> 8
-            before, own = _cumulative(model.high, model.high_sum, miss, high)
-            whole, open_ = model.high_all[miss], rest[miss]
-            start[miss] = _TOTAL - open_ + before * open_ // whole
-            size[miss] = _TOTAL - open_ + (before + own) * open_ // whole - start[miss]
-        coder.put(rows, start, size, np.full(m, _TOTAL))
-        coder.flush(m)
-        if miss.size:
-            model.raise_high(miss, high)
-            low, row = x[miss] & 255, miss * highs + high
-            before, own = _cumulative(model.low, model.low_sum, row, low)
-            coder.put(miss, before, own, model.low_all[row])
-            coder.flush(m)
-            model.raise_low(row, low)
-        model.update(m, x, hit2, hit1)
-    sums = [zlib.crc32(ids[i * length : (i + 1) * length].astype("<u4").tobytes()) for i in range(n)]
-    return coder.end(), sums, highs
+    parts = [ids[at : at + length] for at in range(0, len(ids), length)]
+    return [_coded(x, highs) for x in parts], [zlib.crc32(x.astype("<u4").tobytes()) for x in parts], highs
 
 
 def decode(blocks: list[bytes], sums: list[int], highs: int, length: int, total: int) -> np.ndarray:
     """All ids of the blocks, in order; raises BadBlock if one differs from its checksum."""
-    n = len(blocks)
-    if not n:
-        return np.empty(0, np.uint32)
-    last = total - (n - 1) * length
-    grid = np.zeros((length, n), np.int64)
-    model, coder = _Model(n, highs), _Decoder(blocks)
-    for t in range(length):
-        m = n if t < last else n - 1
-        if not m:
-            break
-        a, b = model.predict(m)
-        rows = model.lane[:m]
-        rest = _TOTAL - model.q2 - model.q1
-        value = coder.value(rows, np.full(m, _TOTAL))
-        hit2 = value < model.q2
-        hit1 = ~hit2 & (value < model.q2 + model.q1)
-        x = np.where(hit2, a, b).astype(np.int64)
-        start = np.where(hit1, model.q2, 0)
-        size = np.where(hit2, model.q2, model.q1)
-        miss = np.flatnonzero(~(hit2 | hit1))
-        if miss.size:
-            whole, open_ = model.high_all[miss], rest[miss]
-            # the greatest count c with c * open // whole <= value - base
-            inside = ((value[miss] - (_TOTAL - open_) + 1) * whole - 1) // open_
-            high, before, own = _found(model.high, model.high_sum, miss, inside)
-            start[miss] = _TOTAL - open_ + before * open_ // whole
-            size[miss] = _TOTAL - open_ + (before + own) * open_ // whole - start[miss]
-        coder.take(rows, start, size)
-        coder.flush(m)
-        if miss.size:
-            model.raise_high(miss, high)
-            row = miss * highs + np.minimum(high, highs - 1)
-            low, before, own = _found(model.low, model.low_sum, row, coder.value(miss, model.low_all[row]))
-            coder.take(miss, before, own)
-            coder.flush(m)
-            model.raise_low(row, low)
-            x[miss] = (high << 8) | low
-        model.update(m, x, hit2, hit1)
-        grid[t, :m] = x
-    out = grid.T.reshape(-1)[:total].astype(np.uint32)
-    for i, want in enumerate(sums):
-        if zlib.crc32(out[i * length : (i + 1) * length].astype("<u4").tobytes()) != want:
+    out = np.empty(total if blocks else 0, np.uint32)
+    for i, (block, want) in enumerate(zip(blocks, sums, strict=True)):
+        part = out[i * length : (i + 1) * length]
+        part[:] = _decoded(block, highs, len(part))
+        if zlib.crc32(part.astype("<u4").tobytes()) != want:
             raise BadBlock(f"block {i}")
     return out

@@ -205,6 +205,60 @@ def test_token_pieces():
         assert t.ids(x).tolist() == library.encode(x, add_special_tokens=False).ids
 
 
+def test_plain_texts_together():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quern.llm.tokens import Tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, library, r = Tokens(path), Tokenizer.from_file(path), random.Random(5)
+    plain = [*"  \n\n\t''stre ll vd m9 8.!é", "internationalization", "'ll", "'re", "'s", " '", "\x0b", "\x1c"]
+    letters = plain * 4 + [chr(c) for c in range(256)] + ["中", "<|endoftext|>", "Ã×÷"]
+    for _ in range(400):
+        found = ["".join(r.choice(plain if r.random() < 0.8 else letters) for _ in range(r.randint(0, 30))) for _ in range(r.randint(1, 8))]
+        ids, sizes = t.many([x.encode() for x in found], 7)
+        want = [[*library.encode(x, add_special_tokens=False).ids, 7] for x in found]
+        assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+
+
+def test_known_pieces_give_way(monkeypatch):
+    """A table of four places and few pieces: each is lost and found again."""
+    import public_tokenizers
+
+    from quern.llm import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [f"word{i} of {i * i}\nthat stands {'very' * (i % 7)} here".encode() for i in range(300)]
+    want, _ = tokens.Tokens(path).many(texts, 0)
+    monkeypatch.setattr(tokens, "_PLACES", 2)
+    monkeypatch.setattr(tokens, "_MOST_PLAIN", 50)
+    small = tokens.Tokens(path)
+    assert np.concatenate([small.many(texts[i : i + 10], 0)[0] for i in range(0, 300, 10)]).tolist() == want.tolist()
+
+
+def test_token_coding_cost():
+    """CPU time an id, in units of what this machine takes for a fixed loop: budget.json leaves 0.59 us for all of op5."""
+    import time
+
+    from quern.llm.range_coder import decode, encode
+
+    def loop() -> float:
+        at = time.thread_time()
+        sum(range(50_000))
+        return (time.thread_time() - at) * 1000
+
+    ids = np.minimum(np.random.default_rng(1).zipf(1.2, 1 << 20), 50_256).astype(np.uint32)
+    slow, at = np.median([loop() for _ in range(50)]), time.process_time()
+    blocks, sums, highs = encode(ids, 1 << 20)
+    assert (decode(blocks, sums, highs, 1 << 20, len(ids)) == ids).all()
+    assert (time.process_time() - at) / len(ids) * 1e6 / slow < 0.59
+    first = np.bincount(ids) / len(ids)
+    assert sum(map(len, blocks)) * 8 / len(ids) < -(first[first > 0] * np.log2(first[first > 0])).sum() + 1
+
+
 @pytest.mark.parametrize(("n", "length", "ids"), [(0, 8, 9), (1, 8, 50257), (8, 8, 65536), (1000, 64, 50257), (5000, 5000, 2), (3001, 100, 300)])
 def test_range_coder(n, length, ids):
     from quern.llm.range_coder import BadBlock, decode, encode
