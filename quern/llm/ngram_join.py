@@ -181,11 +181,30 @@ def _recurring(bits: int):
         home = (key >> np.uint64(short_bits)).astype(np.int64)
         cut = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(key) else np.empty(0, np.int64)
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=False):
-            yield int(home[a]), np.unique(key[a:b] & np.uint64((1 << short_bits) - 1)).tobytes()
+            yield int(home[a]), _distinct(key[a:b] & np.uint64((1 << short_bits) - 1)).tobytes()
 
     return lambda batches: batches_of(rows(batches), schema)
 
 
+def _among(known: np.ndarray, width: int):
+    """Whether at least so many of some tokens (in order, of width bits) are known (in order, distinct).
+
+    A bit table over the leading bits comes first: it has a bit for each known token and few others,
+    and tokens in order read it in order. Only what it leaves is searched for.
+    """
+    lead = max(6, min(width, 26, 4 + len(known).bit_length()))
+    drop, table = np.uint64(width - lead), np.zeros(1 << lead, bool)
+    table[(known >> drop).astype(np.int64)] = True
+    table = np.packbits(table, bitorder="little")
+
+    def enough(tokens: np.ndarray, least: int) -> bool:
+        place = (tokens >> drop).astype(np.int64)
+        left = tokens[(table.take(place >> 3) >> (place & 7).astype(np.uint8)) & 1 == 1]
+        return len(left) >= least and int((known[np.minimum(np.searchsorted(known, left), len(known) - 1)] == left).sum()) >= least
+
+    return enough
+
+
 _KEPT = "doc_id long, n int, d1 long, d2 long, part int, payload binary"
 
 
@@ -202,7 +221,7 @@ def _judge(k: int, num: int, den: int, bits: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())])
 
     def rows(batches) -> Iterator[tuple]:
-        pieces, known, seen = [], None, set()
+        pieces, known, has, seen = [], None, None, set()
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         counted, n = [], 0
 
@@ -218,15 +237,14 @@ def _judge(k: int, num: int, den: int, bits: int):
 
         for doc_id, tokens in shingle_sets(documents(), k):
             if known is None:
-                known = np.unique(np.concatenate(pieces)) if pieces else np.empty(0, np.uint64)
+                known = _distinct(np.sort(np.concatenate(pieces))) if pieces else np.empty(0, np.uint64)
                 pieces.clear()
+                has = _among(known, _short_bits(bits))
             d1, d2 = _digest(tokens)
             yield doc_id, len(tokens), d1, d2, -1, None
             if not len(tokens) or (d1, d2) in seen or doc_id is None or not len(known):
                 continue
-            short = _short(tokens, bits)
-            found = known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short
-            if int(found.sum()) >= needed(len(tokens), num, den):
+            if has(_short(tokens, bits), needed(len(tokens), num, den)):
                 seen.add((d1, d2))
                 counted.append((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
                 if (n := n + len(tokens)) >= CHUNK:

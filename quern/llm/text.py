@@ -39,8 +39,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
-_FOLDED = _BYTES.copy()
-_FOLDED[65:91] = _BYTES[97:123]
+_IN_WORD = bytes(1 - _SPACE.astype(np.uint8))
+_LOWERED = bytes(range(256)).lower()
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word that are hashed eight at a time.
+_NEAR = 64
 _BASE = 0xD6E8FEB86659FD93
 _tables: dict[str, np.ndarray] = {}
 
@@ -52,17 +55,32 @@ def _table(name: str, n: int) -> np.ndarray:
     return _tables[name]
 
 
-def _piece(data: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[data]
-    edges = np.flatnonzero(np.diff(inside))
+def _far(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words of any length, by sums over all bytes before them."""
+    data = np.frombuffer(text, np.uint8)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * _table("power", len(data))[: len(data)], out=sums[1:])
+    return (sums[ends] - sums[starts]) * _table("inverse", len(data))[starts]
+
+
+def _piece(text: bytes, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    inside = np.frombuffer(b"\0" + text.translate(_IN_WORD) + b"\0", bool)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.empty(0, np.uint64), starts, ends
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * _table("power", len(data))[: len(data)], out=sums[1:])
-    got = (sums[ends] - sums[starts]) * _table("inverse", len(data))[starts]
-    return mixed(got + (ends - starts).astype(np.uint64) * np.uint64(_ODD)), starts, ends
+    held = (text.translate(_LOWERED) if fold else text) + bytes(16)
+    eight = np.ndarray(len(text) + 9, "<u8", held, strides=(1,))
+    length = ends - starts
+    got = mixed((eight[starts] & _KEPT[np.minimum(length, 8)]) + length.astype(np.uint64) * np.uint64(_ODD))
+    more, at = np.flatnonzero(length > 8), 8
+    while more.size and at < _NEAR:
+        got[more] = mixed(got[more] + (eight[starts[more] + at] & _KEPT[np.minimum(length[more] - at, 8)]) * np.uint64(_BASE))
+        at += 8
+        more = more[length[more] > at]
+    if more.size:
+        got[more] = mixed(got[more] ^ _far(held, starts[more], ends[more]))
+    return got, starts, ends
 
 
 def word_hashes(text: bytes, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,16 +88,16 @@ def word_hashes(text: bytes, fold: bool = False) -> tuple[np.ndarray, np.ndarray
 
     fold: A-Z count as a-z.
     """
-    data, values = np.frombuffer(text, np.uint8), _FOLDED if fold else _BYTES
-    if len(data) <= PIECE:
-        return _piece(data, values)
+    if len(text) <= PIECE:
+        return _piece(text, fold)
+    data = np.frombuffer(text, np.uint8)
     found, at = [], 0
     while at < len(data):
         to = min(at + PIECE, len(data))
         while to < len(data) and not _SPACE[data[to]]:  # a word longer than a piece makes a longer piece
             gap = np.flatnonzero(_SPACE[data[to : to + PIECE]])
             to = to + int(gap[0]) if len(gap) else min(to + PIECE, len(data))
-        h, s, e = _piece(data[at:to], values)
+        h, s, e = _piece(text[at:to], fold)
         found.append((h, s + at, e + at))
         at = to
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -87,7 +105,7 @@ def word_hashes(text: bytes, fold: bool = False) -> tuple[np.ndarray, np.ndarray
 
 def word_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Words of each of the texts that lie one behind another in data; at: where they start, then the end."""
-    word = ~_SPACE[data]
+    word = np.frombuffer(data.tobytes().translate(_IN_WORD), bool)
     first = word.copy()
     first[1:] &= ~word[:-1]
     start = at[:-1][at[:-1] < at[1:]]

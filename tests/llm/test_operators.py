@@ -607,3 +607,58 @@ def test_word_counts_of_whole_texts(spark):
     got = with_n_words(docs)
     assert got.dtypes == want.dtypes and got.collect() == want.collect()
     assert with_n_words(docs.limit(0)).collect() == []
+
+
+def test_words_of_all_lengths_have_their_own_hashes():
+    from quern.llm.text import PIECE, word_hashes
+
+    r = np.random.default_rng(2)
+    words = [bytes(r.integers(65, 91, n).astype(np.uint8)) for n in (*range(1, 90), 200, 5000) for _ in range(3)]
+    words += [w[:-1] + b"\x00" for w in words] + [w + b"\x00" for w in words] + [w[:8] + w for w in words]
+    distinct = list(dict.fromkeys(words))
+    alone = [int(word_hashes(w)[0][0]) for w in distinct]
+    assert len(set(alone)) == len(distinct)
+    found, starts, ends = word_hashes(b" \n".join(distinct))
+    text = b" \n".join(distinct)
+    assert found.tolist() == alone and [text[a:b] for a, b in zip(starts, ends, strict=True)] == distinct
+    assert word_hashes(text.lower(), fold=True)[0].tolist() == word_hashes(text, fold=True)[0].tolist() == word_hashes(text.lower())[0].tolist()
+    long = b" ".join([text] * (2 * PIECE // len(text) + 1))
+    assert (word_hashes(long)[0].reshape(-1, len(alone)) == np.array(alone, np.uint64)).all()
+
+
+@pytest.mark.parametrize("width", [36, 44])
+def test_known_tokens_are_counted_whole(width):
+    from quern.llm.ngram_join import _among
+
+    r = np.random.default_rng(width)
+    for n in (1, 5, 3000, 100_000):
+        known = np.unique(r.integers(0, 1 << width, n).astype(np.uint64))
+        enough = _among(known, width)
+        for _ in range(20):
+            tokens = np.unique(np.concatenate([r.choice(known, r.integers(0, 50)), r.integers(0, 1 << width, r.integers(0, 50)).astype(np.uint64)]))
+            held = int(np.isin(tokens, known).sum())
+            assert enough(tokens, held) and not enough(tokens, held + 1)
+
+
+def test_relevance_cost():
+    """CPU time of the step that asks which tokens of a text recur, in units of a fixed loop, beside that of hashing the text."""
+    import time
+
+    import pyarrow as pa
+
+    from quern.llm.ngram_join import _judge, shingle_sets
+
+    r = np.random.default_rng(4)
+    texts = [(i, " ".join(map(str, r.integers(0, 10**6, 600).tolist())).encode()) for i in range(1500)]
+    known = np.unique(r.integers(0, 1 << 36, 1_000_000).astype(np.uint64)).tobytes()
+    n = len(texts)
+    rows = pa.RecordBatch.from_arrays([pa.array([0] * (n + 1)), pa.array([0] + [1] * n), pa.array([None] + [i for i, _ in texts]), pa.array([None] + [t.decode() for _, t in texts]), pa.array([known] + [None] * n, pa.binary())], names=list("abcde"))
+    took = []
+    for run in (lambda: list(shingle_sets(texts, 5)), lambda: list(_judge(5, 80, 100, 5)([rows]))):
+        best = []
+        for _ in range(3):
+            at = time.process_time()
+            run()
+            best.append(time.process_time() - at)
+        took.append(min(best))
+    assert took[1] < 3 * took[0], took
